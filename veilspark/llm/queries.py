@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import quality_rules
+from veilspark.llm import quality_rules, simhash
 from veilspark.llm.common import table
 
 
@@ -14,8 +14,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = simhash.group_near_duplicates(table(spark, sf_dir, "documents"))
+    return grouped.withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_simhash": op4_simhash,
         "op5_quality_rules": op5_quality_rules,
     }
 
