@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import quality_rules, simhash
+from veilspark.llm import bpe_trie, packing, quality_rules, simhash
 from veilspark.llm.common import table
 
 
@@ -14,15 +14,33 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return packed.withColumnRenamed("id", "doc_id")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = simhash.group_near_duplicates(table(spark, sf_dir, "documents"))
     return grouped.withColumnRenamed("id", "doc_id")
 
 
+def op10_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe_trie.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_best_fit_packing": op1_best_fit_packing,
         "op4_simhash": op4_simhash,
         "op5_quality_rules": op5_quality_rules,
+        "op10_bpe_trie": op10_bpe_trie,
     }
 
 
