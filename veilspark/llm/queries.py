@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import bpe_trie, packing, quality_rules, simhash
+from veilspark.llm import bpe_trie, packing, quality_rules, simhash, url_filters
 from veilspark.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.verdicts(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = simhash.group_near_duplicates(table(spark, sf_dir, "documents"))
     return grouped.withColumnRenamed("id", "doc_id")
@@ -38,6 +42,7 @@ def op10_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_url_filters": op2_url_filters,
         "op4_simhash": op4_simhash,
         "op5_quality_rules": op5_quality_rules,
         "op10_bpe_trie": op10_bpe_trie,
@@ -45,4 +50,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filters": url_filters.SQL}
