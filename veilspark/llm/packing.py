@@ -22,6 +22,7 @@ are packed each on their own; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -180,13 +181,21 @@ def places(patterns: list[Pattern], capacity: int) -> dict[str, np.ndarray]:
 class WordTokenizer:
     """Ids by the tokenizers library, each distinct chunk between white space encoded once.
 
-    The vocabulary's normaliser and word cutter never look across white space.
+    The vocabulary's normaliser and word cutter never look across white space, so a text's ids
+    are its chunks' ids.  Plain new chunks go to the library many to a text, and its ids are
+    parted at the tokens that end a word; other chunks go one by one.
     """
 
+    PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+    WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
     def __init__(self, path: str, keep: int = 600_000):
         from tokenizers import Tokenizer
 
         self.library, self.keep, self.known = Tokenizer.from_file(path), keep, {}
+        vocab = self.library.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -194,15 +203,29 @@ class WordTokenizer:
         if len(known) > self.keep:
             known.clear()
         cut = [t.encode("utf-8").split() for t in texts]
-        new: set[bytes] = set()
-        for ws in cut:
-            new.update(ws)
-        new = [w for w in new if w not in known]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.library.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, ws)) for ws in cut]
+        out = [list(map(known.get, ws)) for ws in cut]
+        lack = [k for k, ids in enumerate(out) if None in ids]
+        if lack:
+            self.learn(list({w for k in lack for w, ids in zip(cut[k], out[k], strict=True) if ids is None}))
+            for k in lack:
+                out[k] = list(map(known.__getitem__, cut[k]))
+        return [b"".join(x) for x in out]
+
+    def learn(self, chunks: list[bytes]) -> None:
+        texts = [c.decode() for c in chunks]
+        plain = [bool(self.PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
+        for i in [i for i, x in enumerate(plain) if not x]:
+            self.known[chunks[i]] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+        at = [i for i, x in enumerate(plain) if x]
+        for a in range(0, len(at), 2000):
+            part = at[a : a + 2000]
+            words = np.cumsum([len(self.WORDS.findall(texts[i].lower())) for i in part])
+            ids = np.array(self.library.encode_batch_fast([" ".join([texts[i] for i in part])], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids])[words - 1] + 1).tolist()
+            raw, start = ids.tobytes(), 0
+            for i, stop in zip(part, stops, strict=True):
+                self.known[chunks[i]] = raw[4 * start : 4 * stop]
+                start = stop
 
 
 _made: dict[str, WordTokenizer] = {}
@@ -250,7 +273,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_c
     counts = {r.length: r.n for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     spots = places(bin_completion(counts, capacity, nodes), capacity)
     before = by_task.select("length", "task", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
-    ranked = pieces.join(before, ["length", "task"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
+    ranked = pieces.join(before.hint("merge"), ["length", "task"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
     held = spark.sparkContext.broadcast(spots)  # a few slots for each of at most ``capacity`` lengths
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
