@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import bpe_trie, packing, quality_rules, simhash, url_filters
+from veilspark.llm import bpe_trie, packing, quality_rules, sharding, simhash, url_filters
 from veilspark.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.withColumnRenamed("id", "doc_id")
 
 
+def op9_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_report(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe_trie.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return found.withColumnRenamed("id", "doc_id")
@@ -45,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_url_filters": op2_url_filters,
         "op4_simhash": op4_simhash,
         "op5_quality_rules": op5_quality_rules,
+        "op9_kd_tree_sharding": op9_kd_tree_sharding,
         "op10_bpe_trie": op10_bpe_trie,
     }
 
