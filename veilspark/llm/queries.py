@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import bpe_trie, packing, quality_rules, sharding, simhash, url_filters
+from veilspark.llm import bpe_trie, chat_format, packing, quality_rules, sharding, simhash, url_filters
 from veilspark.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.verdicts(table(spark, sf_dir, "pages"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = simhash.group_near_duplicates(table(spark, sf_dir, "documents"))
     return grouped.withColumnRenamed("id", "doc_id")
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_url_filters": op2_url_filters,
+        "op3_chat_format": op3_chat_format,
         "op4_simhash": op4_simhash,
         "op5_quality_rules": op5_quality_rules,
         "op9_kd_tree_sharding": op9_kd_tree_sharding,
@@ -55,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": url_filters.SQL}
+    return {"op2_url_filters": url_filters.SQL, "op3_chat_format": chat_format.SQL}
