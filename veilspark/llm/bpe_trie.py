@@ -17,6 +17,7 @@ whole.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -76,6 +77,8 @@ class Vocabulary:
             self.bytes[i] = s.encode()
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.longest = max(map(len, self.ids))
+        self.sizes = {i: len(b) for i, b in self.bytes.items()}
+        self.seams: dict[int, bool] = {}  # what apart() said of two tokens
         self.library = Tokenizer.from_file(path)
         self.packed = {i: int(i).to_bytes(4, "little") for i in self.bytes}
 
@@ -105,10 +108,14 @@ class Vocabulary:
                 else:
                     b = parts[b][0]
 
-    def encode_words(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:
-        """Ids of distinct words by one depth-first walk of their trie."""
-        out: dict[bytes, list[int]] = {}
-        ids, apart, longest = self.ids, self.apart, self.longest
+    def encode_words(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
+        """Packed ids of distinct words by one depth-first walk of their trie."""
+        out: dict[bytes, bytes] = {}
+        packed = self.packed
+        ids, apart, longest, met = self.ids, self.apart, self.longest, self.seams
+        if len(met) > 1_000_000:
+            met.clear()
+        get, sizes = ids.get, self.sizes
         last: list[int] = []  # of each prefix on the path
         before = b""
         for w in sorted(words):
@@ -119,20 +126,28 @@ class Vocabulary:
                 shared += 1
             del last[shared:]
             for end in range(shared + 1, len(w) + 1):
-                for start in range(max(0, end - longest), end):
-                    t = ids.get(w[start:end])
-                    if t is not None and (apart(last[start - 1], t) if start else self.whole(t)):
-                        last.append(t)
-                        break
+                for start in range(end - longest if end > longest else 0, end):
+                    t = get(w[start:end])
+                    if t is not None:
+                        if start:
+                            seam = last[start - 1] << 32 | t
+                            ok = met.get(seam)
+                            if ok is None:
+                                ok = met[seam] = apart(last[start - 1], t)
+                        else:
+                            ok = self.whole(t)
+                        if ok:
+                            last.append(t)
+                            break
                 else:
                     raise ValueError(f"no token ends {w[:end]!r}")
             before = w
             found, end = [], len(w)
             while end:
                 t = last[end - 1]
-                found.append(t)
-                end -= len(self.bytes[t])
-            out[w] = found[::-1]
+                found.append(packed[t])
+                end -= sizes[t]
+            out[w] = b"".join(found[::-1])
         return out
 
     def whole(self, token: int) -> bool:
@@ -162,8 +177,8 @@ class Encoder:
         v, known = self.v, self.known
         if len(known) > self.keep:
             known.clear()
+        known.update((i, v.packed[i]) for i in v.special.values())
         cut: list[list[str | int]] = []
-        new: set[str] = set()
         for text in texts:
             out: list[str | int] = []
             for piece in v.split_special.split(text) if v.split_special else [text]:
@@ -174,28 +189,34 @@ class Encoder:
                 else:
                     out.extend(self.by_library(piece))
             cut.append(out)
-            new.update(x for x in set(out) if x not in known and type(x) is str)
-        self.learn(new)
-        for s, i in v.special.items():
-            known[i] = v.packed[i]
-            del s
-        return [b"".join(map(known.__getitem__, out)) for out in cut]
+        found = [list(map(known.get, out)) for out in cut]
+        lack = [k for k, ids in enumerate(found) if None in ids]
+        if lack:
+            self.learn({c for k in lack for c, ids in zip(cut[k], found[k], strict=True) if ids is None})
+            for k in lack:
+                found[k] = list(map(known.__getitem__, cut[k]))
+        return [b"".join(ids) for ids in found]
 
     def by_library(self, piece: str) -> list[str]:
         """Words as the library cuts them, each then a chunk of its own."""
         return [piece[a:b] for _, (a, b) in self.v.library.pre_tokenizer.pre_tokenize_str(piece)]
 
     def learn(self, chunks: set[str]) -> None:
-        cut = {c: [w.encode() for w in (WORDS.findall(c) if PLAIN.fullmatch(c) else self.by_library(c))] for c in chunks}
-        ids = self.v.encode_words({w for ws in cut.values() for w in ws})
-        packed = self.v.packed
-        for c, ws in cut.items():
-            self.known[c] = b"".join([packed[i] for w in ws for i in ids[w]])
+        collects = gc.isenabled()
+        gc.disable()  # nothing here refers to itself, and full collections over the cache cost more than the trie
+        try:
+            known = self.known
+            cut = {c: [w.encode() for w in (WORDS.findall(c) if PLAIN.fullmatch(c) else self.by_library(c))] for c in chunks}
+            ids = self.v.encode_words({w for ws in cut.values() for w in ws})
+            for c, ws in cut.items():
+                known[c] = ids[ws[0]] if len(ws) == 1 else b"".join(map(ids.__getitem__, ws))
+        finally:
+            if collects:
+                gc.enable()
 
     def decode(self, packed: bytes) -> str:
         """The text of ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""
-        at = self.v.bytes
-        return b"".join([at[i] for i in np.frombuffer(packed, "<u4").tolist()]).decode("utf-8", "replace")
+        return b"".join(map(self.v.bytes.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
 
 
 _made: dict[str, Encoder] = {}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import bpe_trie, chat_format, packing, quality_rules, sharding, simhash, url_filters
+from veilspark.llm import bpe_trie, chat_format, line_dedup, media_columns, packing, quality_rules, sharding, simhash, url_filters
 from veilspark.llm.common import table
 
 
@@ -38,6 +38,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.withColumnRenamed("id", "doc_id")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns.media_report(table(spark, sf_dir, "documents"))
+
+
 def op9_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf_dir, "documents"))
 
@@ -54,10 +62,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chat_format": op3_chat_format,
         "op4_simhash": op4_simhash,
         "op5_quality_rules": op5_quality_rules,
+        "op6_line_dedup": op6_line_dedup,
+        "op8_media_columns": op8_media_columns,
         "op9_kd_tree_sharding": op9_kd_tree_sharding,
         "op10_bpe_trie": op10_bpe_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": url_filters.SQL, "op3_chat_format": chat_format.SQL}
+    return {"op2_url_filters": url_filters.SQL, "op3_chat_format": chat_format.SQL, "op6_line_dedup": line_dedup.SQL}
