@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import bpe_trie, chat_format, line_dedup, media_columns, packing, quality_rules, sharding, simhash, url_filters
+from veilspark.llm import bpe_trie, chat_format, line_dedup, lm_scoring, media_columns, packing, quality_rules, sharding, simhash, url_filters
 from veilspark.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.media_report(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": op4_simhash,
         "op5_quality_rules": op5_quality_rules,
         "op6_line_dedup": op6_line_dedup,
+        "op7_lm_scoring": op7_lm_scoring,
         "op8_media_columns": op8_media_columns,
         "op9_kd_tree_sharding": op9_kd_tree_sharding,
         "op10_bpe_trie": op10_bpe_trie,
