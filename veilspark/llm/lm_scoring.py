@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -49,12 +50,16 @@ MESSAGE = "key bigint, kind string, src bigint, x binary, y binary, z binary"
 ARROW = pa.schema([("key", pa.int64()), ("kind", pa.string()), ("src", pa.int64()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())])
 
 
-def pack(a: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(a).tobytes(), 1)
+def pack(a: np.ndarray, ascending: bool = False) -> bytes:
+    """Compressed byte planes; of ascending unsigned numbers, those of their steps."""
+    a = np.diff(a, prepend=a.dtype.type(0)) if ascending else np.ascontiguousarray(a)
+    return zstandard.compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes(), 1)
 
 
-def unpack(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(b), kind)
+def unpack(b: bytes, kind, ascending: bool = False) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    a = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(size, -1).T.copy().reshape(-1).view(kind)
+    return np.cumsum(a, dtype=kind) if ascending else a
 
 
 # ---------------------------------------------------------------------------------------- seating
@@ -169,14 +174,17 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
     def flush(kind: pa.DataType) -> pa.RecordBatch:
         hashes = np.array([*map(xxhash.xxh64_intdigest, words), END, BEGIN], np.uint64)
         order = np.argsort(hashes)
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.arange(len(order), dtype=np.int32)
         flat = np.concatenate([x for p in parts for x in (p, mark)])
         flat[flat < 0] = len(words)
+        # The commonest words get the smallest numbers, which pack best; places: theirs in the sorted vocabulary.
+        common = np.argsort(-np.bincount(flat, minlength=len(hashes)), kind="stable")
+        rank, places = np.empty(len(order), np.int32), np.empty(len(order), np.int32)
+        rank[common] = np.arange(len(order), dtype=np.int32)
+        places[rank[order]] = np.arange(len(order), dtype=np.int32)
         lens, held_ = np.array([len(p) + 1 for p in parts], np.int32), np.array(held, bool)
-        row = [task << 32 | seq, int(lens[~held_].sum()), len(flat), int((~held_).sum()), len(hashes), ids, pack(held_), pack(lens), pack(hashes[order]), pack(rank[flat])]
-        types = [pa.int64()] * 5 + [pa.list_(kind)] + [pa.binary()] * 4
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["block", "n_train", "n_tokens", "n_docs", "n_words", "ids", "held", "lens", "vocab", "tokens"])
+        row = [task << 32 | seq, int(lens[~held_].sum()), len(flat), int((~held_).sum()), len(hashes), ids, pack(held_), pack(lens), pack(hashes[order], True), pack(places), pack(rank[flat])]
+        types = [pa.int64()] * 5 + [pa.list_(kind)] + [pa.binary()] * 5
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["block", "n_train", "n_tokens", "n_docs", "n_words", "ids", "held", "lens", "vocab", "places", "tokens"])
 
     kind = None
     for b in batches:
@@ -214,18 +222,19 @@ def _parts(hashes: np.ndarray, n: int) -> np.ndarray:
 def _ask_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     """A block's words and their training counts, to the words' shards."""
     for b in batches:
-        for block, held, lens, vocab, tokens in _rows(b, "block", "held", "lens", "vocab", "tokens"):
-            held, lens, vocab, tokens = unpack(held, bool), unpack(lens, np.int32), unpack(vocab, np.uint64), unpack(tokens, np.int32)
+        for block, held, lens, vocab, places, tokens in _rows(b, "block", "held", "lens", "vocab", "places", "tokens"):
+            held, lens, vocab, tokens = unpack(held, bool), unpack(lens, np.int32), unpack(vocab, np.uint64, True), unpack(places, np.int32)[unpack(tokens, np.int32)]
             n = np.bincount(tokens[~np.repeat(held, lens)], minlength=len(vocab)).astype(np.int64)
             at = _parts(vocab, shards)
-            yield _messages([(k, "block", block, pack(vocab[i:j]), pack(n[i:j]), None) for k, (i, j) in enumerate(zip(at, at[1:], strict=False))])
+            yield _messages([(k, "block", block, pack(vocab[i:j], True), pack(n[i:j]), None) for k, (i, j) in enumerate(zip(at, at[1:], strict=False))])
 
 
 class _Pairs:
     """A block's distinct pairs in the order in which they are sent, and where its tokens find them."""
 
-    def __init__(self, held: bytes, lens: bytes, vocab: bytes, tokens: bytes, buckets: int, hot: tuple[np.ndarray, np.ndarray]):
-        self.held, self.lens, self.vocab, self.tokens = unpack(held, bool), unpack(lens, np.int32), unpack(vocab, np.uint64), unpack(tokens, np.int32)
+    def __init__(self, held: bytes, lens: bytes, vocab: bytes, places: bytes, tokens: bytes, buckets: int, hot: tuple[np.ndarray, np.ndarray]):
+        self.held, self.lens, self.vocab = unpack(held, bool), unpack(lens, np.int32), unpack(vocab, np.uint64, True)
+        self.tokens = unpack(places, np.int32)[unpack(tokens, np.int32)]
         v = len(self.vocab)
         self.starts = np.r_[0, np.cumsum(self.lens[:-1])]
         context = np.empty(len(self.tokens), np.int64)
@@ -252,7 +261,7 @@ def split_of(hashes: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarr
 
 def _ask_pairs(batches: Iterator[pa.RecordBatch], buckets: int, hot) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for block, *arrays in _rows(b, "block", "held", "lens", "vocab", "tokens"):
+        for block, *arrays in _rows(b, "block", "held", "lens", "vocab", "places", "tokens"):
             p = _Pairs(*arrays, buckets, hot)
             n = np.bincount(p.which[~np.repeat(p.held, p.lens)], minlength=len(p.u)).astype(np.int32)
             for k, (i, j) in enumerate(zip(p.edges, p.edges[1:], strict=False)):
@@ -281,16 +290,17 @@ def _sample(table: pa.Table, buckets: int, shards: int, hot, d0: float, strength
     contexts, ui = np.unique(u[known], return_inverse=True)
     words, wi = np.unique(w[known], return_inverse=True)
     mean, last, d = seat_bucket(c[known], ui, wi, split_of(contexts, hot), d0, strengths, base, sweeps, burn, np.random.default_rng([11, bucket]))
-    rest = np.zeros(len(c), np.float32)
-    rest[known] = c[known] - d * mean
-    rest = rest[which]
+    kept = np.zeros(len(c), np.int64)  # tables, summed over the sweeps that count
+    kept[known] = np.rint(mean * max(sweeps - burn, 1))
+    c, kept = c.astype(np.int32)[which], kept.astype(np.int32)[which]
+    share = np.array([d / max(sweeps - burn, 1)]).tobytes()
     rows, at = [], 0
     for block, k in zip(src, lens, strict=True):
-        rows.append((block, "rest", bucket, pack(rest[at : at + k]), None, None))
+        rows.append((block, "rest", bucket, pack(c[at : at + k]), pack(kept[at : at + k]), share))
         at += k
     for kind, hashes, values in (("tables", words, np.bincount(wi, last, len(words)).astype(np.int32)), ("context", contexts, (d * np.bincount(ui, mean, len(contexts))))):
         cut = _parts(hashes, shards)
-        rows += [(k, kind, bucket, pack(hashes[i:j]), pack(values[i:j]), None) for k, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if i < j]
+        rows += [(k, kind, bucket, pack(hashes[i:j], True), pack(values[i:j]), None) for k, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if i < j]
     return pa.Table.from_batches([_messages(rows)])
 
 
@@ -298,14 +308,14 @@ def _add_up(rows: list[list], kind) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of packed (hashes, values), and the sums of their values."""
     if not rows:
         return np.zeros(0, np.uint64), np.zeros(0, kind)
-    h = np.concatenate([unpack(x, np.uint64) for x, _ in rows])
+    h = np.concatenate([unpack(x, np.uint64, True) for x, _ in rows])
     v = np.concatenate([unpack(y, kind) for _, y in rows])
     found, which = np.unique(h, return_inverse=True)
     return found, np.bincount(which, v, len(found))
 
 
 def _of(table: pa.Table, kind: str) -> list[list]:
-    keep = table.filter(pa.compute.equal(table.column("kind"), kind))
+    keep = table.filter(pc.equal(table.column("kind"), kind))
     return [[x.as_py(), y.as_py()] for x, y in zip(keep.column("x"), keep.column("y"), strict=True)]
 
 
@@ -319,8 +329,6 @@ def _count(table: pa.Table, least: int) -> pa.Table:
 
 def _answer_words(table: pa.Table, shards: int, d0: float, strength: float, base: float, sweeps: int, burn: int) -> pa.Table:
     """Seat the parent's dishes of a shard and answer the blocks: counts, what tables leave of them, contexts' mass."""
-    import pyarrow.compute  # noqa: F401
-
     shard = table.column("key")[0].as_py()
     words, c = _add_up(_of(table, "block"), np.int64)
     th, t = _add_up(_of(table, "tables"), np.int32)
@@ -336,28 +344,26 @@ def _answer_words(table: pa.Table, shards: int, d0: float, strength: float, base
     left[np.searchsorted(words, th)] = t - d0 * r
     by[np.searchsorted(words, dh)] = mass
     rows = [(-1, "sums", shard, np.array([t.sum(), r.sum()], float).tobytes(), None, None)]
-    keep = table.filter(pa.compute.equal(table.column("kind"), "block"))
+    keep = table.filter(pc.equal(table.column("kind"), "block"))
     for block, x in zip(keep.column("src"), keep.column("x"), strict=True):
-        at = np.searchsorted(words, unpack(x.as_py(), np.uint64))
+        at = np.searchsorted(words, unpack(x.as_py(), np.uint64, True))
         rows.append((block.as_py(), "words", shard, pack(c[at].astype(np.int64)), pack(left[at]), pack(by[at])))
     return pa.Table.from_batches([_messages(rows)])
 
 
 def _score(table: pa.Table, schema: pa.Schema, buckets: int, hot, strengths, base: float, docs: int, n: int, v: int, customers: float, tables: float, d0: float) -> pa.Table:
     """Scores of a block's texts from the answers of buckets and shards."""
-    import pyarrow.compute as pc
-
     own = table.filter(pc.equal(table.column("kind"), "own"))
     ids = own.column("ids").combine_chunks().flatten()
-    p = _Pairs(*(own.column(k)[0].as_py() for k in ("held", "lens", "x", "y")), buckets, hot)
+    p = _Pairs(*(own.column(k)[0].as_py() for k in ("held", "lens", "x", "y", "z")), buckets, hot)
     s1, s0 = strengths
 
     def answers(kind: str) -> pa.Table:
         return table.filter(pc.equal(table.column("kind"), kind)).sort_by("src")
 
     rest = np.empty(len(p.u), np.float64)
-    got = [unpack(x.as_py(), np.float32) for x in answers("rest").column("x")]
-    rest[p.order] = np.concatenate(got)
+    got = zip(*(answers("rest").column(k).to_pylist() for k in "xyz"), strict=True)
+    rest[p.order] = np.concatenate([unpack(x, np.int32) - np.frombuffer(z)[0] * unpack(y, np.int32) for x, y, z in got])
     told = answers("words")
     c, left, mass = (np.concatenate([unpack(x.as_py(), k) for x in told.column(name)]) for name, k in (("x", np.int64), ("y", np.float64), ("z", np.float64)))
     parent = (left + (s0 + d0 * tables) * base) / (s0 + customers)
@@ -387,7 +393,7 @@ def score(
     i = F.col(f"`{id_column}`")
     held = F.pmod(F.crc32(F.coalesce(i.cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == held_remainder
     src = docs.select(i.alias("id"), held.alias("held"), F.col(f"`{text_column}`").alias("text"))
-    columns = f"block bigint, n_train bigint, n_tokens bigint, n_docs bigint, n_words bigint, ids array<{kind}>, held binary, lens binary, vocab binary, tokens binary"
+    columns = f"block bigint, n_train bigint, n_tokens bigint, n_docs bigint, n_words bigint, ids array<{kind}>, held binary, lens binary, vocab binary, places binary, tokens binary"
     blocks = materialize(src.mapInArrow(lambda it: _blocks(it, block_tokens), columns), "blocks")
     n, tokens, n_docs, entries = (int(x or 0) for x in blocks.agg(*[F.sum(c) for c in ("n_train", "n_tokens", "n_docs", "n_words")]).first())
     buckets, shards = max(1, -(-tokens // bucket_pairs)), max(1, -(-entries // 2_000_000))
@@ -403,13 +409,15 @@ def score(
     base, d0 = 1.0 / (v + 1), bounded(n1, n2)
     pairs = blocks.mapInArrow(lambda it: _ask_pairs(it, buckets, hot), MESSAGE)
     seated = materialize(pairs.groupBy("key").applyInArrow(lambda t: _sample(t, buckets, shards, hot, d0, strengths, base, sweeps, burn), MESSAGE), "seated")
+    del pairs, stats
     release(spark)  # the pairs' shuffle
     told = asked.unionByName(seated.filter("kind != 'rest'")).groupBy("key").applyInArrow(lambda t: _answer_words(t, shards, d0, strengths[1], base, sweeps, burn), MESSAGE)
     told = materialize(told, "words")
+    release(spark)
     sums = [np.frombuffer(r.x) for r in told.filter("kind = 'sums'").select("x").collect()]  # one row a shard
     customers, tables = np.sum(sums, axis=0).tolist() if sums else (0.0, 0.0)
     none = lambda c, t: F.lit(None).cast(t).alias(c)
-    own = blocks.select(F.col("block").alias("key"), F.lit("own").alias("kind"), F.lit(0).cast("bigint").alias("src"), F.col("vocab").alias("x"), F.col("tokens").alias("y"), none("z", "binary"), "ids", "held", "lens")
+    own = blocks.select(F.col("block").alias("key"), F.lit("own").alias("kind"), F.lit(0).cast("bigint").alias("src"), F.col("vocab").alias("x"), F.col("places").alias("y"), F.col("tokens").alias("z"), "ids", "held", "lens")
     rest = seated.filter("kind = 'rest'").unionByName(told.filter("kind = 'words'")).select("*", none("ids", f"array<{kind}>"), none("held", "binary"), none("lens", "binary"))
     scored = own.unionByName(rest).groupBy("key").applyInArrow(
         lambda t: _score(t, _schema(t), buckets, hot, strengths, base, n_docs, n, v, customers, tables, d0), out
