@@ -240,8 +240,11 @@ class _Pairs:
         context = np.empty(len(self.tokens), np.int64)
         context[1:] = self.tokens[:-1]
         context[self.starts] = np.searchsorted(self.vocab, np.uint64(BEGIN))
-        codes, self.which = np.unique(context * v + self.tokens, return_inverse=True)
-        self.u, self.w = codes // v, codes % v
+        context *= v
+        context += self.tokens
+        codes, self.which = distinct(context)
+        del context
+        self.u, self.w = (codes // v).astype(np.int32), (codes % v).astype(np.int32)
         split = split_of(self.vocab, hot)[self.u]
         bucket = (self.vocab % np.uint64(buckets)).astype(np.int64)[self.u]
         many = np.flatnonzero(split > 1)
@@ -250,6 +253,22 @@ class _Pairs:
         self.edges = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
 
 
+def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order, and where each one's are; sorts code and place as one number where they fit."""
+    bits = max(1, (len(codes) - 1).bit_length())
+    if int(codes.max()).bit_length() + bits > 63:
+        return np.unique(codes, return_inverse=True)
+    both = codes << bits
+    both |= np.arange(len(codes))
+    both.sort()
+    place = (both & ((1 << bits) - 1)).astype(np.int32)
+    both >>= bits
+    new = np.r_[True, both[1:] != both[:-1]]
+    which = np.empty(len(codes), np.int32)
+    which[place] = np.cumsum(new, dtype=np.int32) - 1
+    return both[new], which
+
+
 def split_of(hashes: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Over how many buckets each context is dealt."""
     out = np.ones(len(hashes), np.int64)
@@ -380,7 +399,7 @@ def _score(table: pa.Table, schema: pa.Schema, buckets: int, hot, strengths, bas
 
 def score(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", modulus: int = 7, held_remainder: int = 2,
-    strengths: tuple[float, float] = (1.0, 1.0), sweeps: int = 5, burn: int = 2, block_tokens: int = 3_000_000, bucket_pairs: int = 3_000_000,
+    strengths: tuple[float, float] = (1.0, 1.0), sweeps: int = 5, burn: int = 2, block_tokens: int = 3_000_000, bucket_pairs: int = 2_000_000,
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
