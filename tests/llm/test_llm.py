@@ -172,6 +172,23 @@ def test_near_duplicates_keep_one_and_clean(spark):
     assert kept == {*range(12), None}
 
 
+def rewritten(run, seed):
+    """60 pairs of 200-word documents, ids i and 100 + i, the second with ``run`` words in a row changed."""
+    rng, rows = np.random.RandomState(seed), []
+    for i in range(60):
+        w = [f"w{x}" for x in rng.randint(0, 10**6, 200)]
+        at = rng.randint(10, 150)
+        rows += [(i, " ".join(w)), (100 + i, " ".join(w[:at] + [f"new{x}" for x in rng.randint(0, 10**6, run)] + w[at + run :]))]
+    return rows
+
+
+def test_near_duplicates_below_the_similarity_stay(spark):
+    rows = rewritten(20, 11)  # 172 of 220 shingles: 0.78
+    assert not any(simhash.similar(simhash.words_of(a[1]), simhash.words_of(b[1]), 5, 80) for a, b in zip(rows[::2], rows[1::2], strict=True))
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept == {r[0] for r in rows}
+
+
 def test_quality_rules(spark, docs, empty):
     got = {(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules.quality_report(docs).collect()}
     for r in docs.select("doc_id", "text").collect():

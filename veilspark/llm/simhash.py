@@ -11,7 +11,8 @@ distributed connected components.
 
 With ``pigeonhole_tables`` the search is exact: two fingerprints that differ in at most r
 bits agree on all but r of m bit groups.  ``sampled_tables`` is for wide fingerprints
-and radii beyond the pigeonhole's reach; its recall is that of bit-sampling hashing.
+and radii beyond the pigeonhole's reach; its recall is that of bit-sampling hashing.  ``drop_near_duplicates`` takes its blocks as a candidate search only:
+a link is two texts whose sets of shingles have the asked Jaccard similarity.
 
 Defined results: a null or wordless text has fingerprint zero, linked like any other;
 fewer words than a shingle make one shingle of them all; repeated rows share a fingerprint;
@@ -29,12 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import fresh, materialize, ready
+from veilspark.llm.common import fresh, materialize, ready, release, remove
 from veilspark.llm.graph import connected_components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Rows of hashes whose bits are counted at a time.
 SLICE = 1 << 16
+#: Tables whose links are verified first, and tables whose blocks are shuffled at a time.
+FIRST, BATCH = 8, 16
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -69,9 +72,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(words: list[bytes], k: int = 3, width: int = 1) -> bytes:
-    """Big-endian bytes: a bit is 1 if set in over half of the hashes."""
+def fingerprint(words: list[bytes], k: int = 3, width: int = 1, distinct: bool = False) -> bytes:
+    """Big-endian bytes: a bit is 1 if set in over half of the hashes, repeats of a shingle included unless ``distinct``."""
     h = shingle_hashes(words, k, width)
+    if distinct and len(h):
+        h = h[np.unique(h[:, 0], return_index=True)[1]]
     counts = np.zeros(64 * width, np.int64)
     for i in range(0, len(h), SLICE):
         bits = np.unpackbits(h[i : i + SLICE].astype(">u8").view(np.uint8).reshape(-1, 8 * width), axis=1)
@@ -109,6 +114,7 @@ def sampled_tables(bits: int, tables: int, key_bits: int) -> list[list[int]]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch], tables: list[list[int]]) -> Iterator[pa.RecordBatch]:
+    """A row (key, fp) for each table; the columns after the fingerprint go along."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -120,7 +126,7 @@ def _keys(batches: Iterator[pa.RecordBatch], tables: list[list[int]]) -> Iterato
             for x in at:
                 key = (key << np.uint64(1)) | bits[:, x].astype(np.uint64)
             key = _mix(key + np.uint64((t + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), raw], ["key", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), raw, *b.columns[1:]], ["key", "fp", *b.schema.names[1:]])
 
 
 class Planes:
@@ -172,10 +178,11 @@ class Planes:
         return live & ~over
 
 
-def link_block(groups: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def link_block(groups: np.ndarray, fps: np.ndarray, radius: int, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest's edges (row, row) of the links within each group.
 
     ``groups``: the group of each row, equal ones side by side; ``fps``: (n, bytes) uint8.
+    With ``labels``, all links between rows of different labels instead.
     """
     edges = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
     sizes = np.diff(np.r_[edges, len(groups)])
@@ -189,6 +196,9 @@ def link_block(groups: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[i
     planes = Planes(np.unpackbits(fps[rows], axis=1), radius)
     label, parts, found = np.arange(len(rows)), sizes.copy(), []
     done = np.zeros(len(order), bool)
+    if labels is not None:
+        label = np.unique(labels[rows], return_inverse=True)[1]
+        done = np.bincount(np.unique(np.stack([group, label]), axis=1)[0], minlength=len(order)) == 1
     lag = 1
     while True:
         reach = int(np.searchsorted(-sizes, -lag, side="left"))  # groups with more than lag members
@@ -198,13 +208,17 @@ def link_block(groups: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[i
         if n < planes.n:
             planes.cut(n)
         pair = (group[: n - lag] == group[lag:n]) & ~done[group[: n - lag]]
-        live = int.from_bytes(np.packbits(pair, bitorder="little").tobytes(), "little")
+        if labels is not None:
+            pair &= label[: n - lag] != label[lag:n]
+        live = int.from_bytes(np.packbits(pair, bitorder="little").tobytes(), "little") if pair.any() else 0
         hit = planes.within(lag, live) if live else 0
         if hit:
             raw = np.frombuffer(hit.to_bytes((n + 7) // 8, "little"), np.uint8)
             i = np.flatnonzero(np.unpackbits(raw, bitorder="little"))
             i = i[label[i] != label[i + lag]]
-            if len(i):
+            if labels is not None:
+                found += zip(i.tolist(), (i + lag).tolist(), strict=True)
+            elif len(i):
                 parent: dict[int, int] = {}
 
                 def top(x: int, parent: dict[int, int] = parent) -> int:
@@ -227,47 +241,55 @@ def link_block(groups: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[i
 
 
 def _compare(batches: Iterator[pa.RecordBatch], radius: int, block: int) -> Iterator[pa.RecordBatch]:
-    """Edges within the groups of a partition sorted by group; at most ``block`` rows plus a group are held."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    """Edges within the groups of a partition sorted by group; at most ``block`` rows plus a group are held.
+
+    Columns: group, fingerprint and, where nodes aren't fingerprints, the node and perhaps its label.
+    """
+    held: list[list[np.ndarray]] = []
 
     def flush(last: bool) -> Iterator[pa.RecordBatch]:
-        g = np.concatenate([x for x, _ in held])
-        f = np.concatenate([x for _, x in held])
+        g, f, *more = (np.concatenate(x) for x in zip(*held, strict=True))
         end = len(g) if last else int(np.searchsorted(g, g[-1], side="left"))
         held.clear()
         if end < len(g):
-            held.append((g[end:], f[end:]))
+            held.append([g[end:], f[end:], *(x[end:] for x in more)])
         if end:
-            e = link_block(g[:end], f[:end], radius)
-            if e:
-                yield pa.RecordBatch.from_arrays([pa.array([f[i].tobytes().hex() for i, _ in e]), pa.array([f[j].tobytes().hex() for _, j in e])], ["a", "b"])
+            e = link_block(g[:end], f[:end], radius, more[1][:end] if len(more) > 1 else None)
+            name = (lambda i: more[0][i]) if more else (lambda i: f[i].tobytes().hex())
+            for at in range(0, len(e), SLICE):
+                part = e[at : at + SLICE]
+                yield pa.RecordBatch.from_arrays([pa.array([name(i) for i, _ in part]), pa.array([name(j) for _, j in part])], ["a", "b"])
 
     for b in batches:
         if not b.num_rows:
             continue
         f = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-        held.append((b.column(0).to_numpy(zero_copy_only=False), f))
-        if sum(len(x) for x, _ in held) >= block:
+        held.append([b.column(0).to_numpy(zero_copy_only=False), f, *(x.to_numpy(zero_copy_only=False) for x in b.columns[2:])])
+        if sum(len(x[0]) for x in held) >= block:
             yield from flush(False)
     if held:
         yield from flush(True)
 
 
-def links(nodes: DataFrame, tables: list[list[int]], radius: int, n_nodes: int) -> DataFrame:
+def links(nodes: DataFrame, tables: list[list[int]], radius: int, n_nodes: int, more: tuple[str, ...] = ()) -> DataFrame:
     """Edges (a, b) of fingerprints that link; a forest within each block.
 
+    ``more``: the columns that name the node, if it isn't its fingerprint, and its label (bigint), if
+    all links between different labels are wanted.
+
     A bucket of more than ``chunk`` nodes is cut by hash into chunks, and each pair of chunks is
     a block of its own: exact, and no task holds more than two chunks.
     """
     chunk = int(min(1 << 16, max(1024, n_nodes // 64)))
-    keyed = nodes.select("fingerprint").mapInArrow(lambda it: _keys(it, tables), "key bigint, fp binary")
+    kinds = "".join(f", {c} {nodes.schema[c].dataType.simpleString()}" for c in more)
+    keyed = nodes.select("fingerprint", *more).mapInArrow(lambda it: _keys(it, tables), f"key bigint, fp binary{kinds}")
     big = materialize(keyed.groupBy("key").count().filter(F.col("count") > chunk).select("key", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")), "big")
-    me = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    me = F.pmod(F.xxhash64(more[0] if more else "fp"), F.col("chunks")).cast("int")
     other = F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))).alias("other")
-    dealt = keyed.join(big, "key", "left").select("key", "fp", me.alias("me"), other).filter("me is null or me != other")
+    dealt = keyed.join(big, "key", "left").select("key", "fp", *more, me.alias("me"), other).filter("me is null or me != other")
     group = F.when(F.col("me").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("me", "other"), F.greatest("me", "other")))
-    blocks = dealt.select(group.alias("block"), "fp").repartition(F.col("block")).sortWithinPartitions("block")
-    return blocks.mapInArrow(lambda it: _compare(it, radius, 1 << 16), "a string, b string")
+    blocks = dealt.select(group.alias("block"), "fp", *more).repartition(F.col("block")).sortWithinPartitions("block")
+    return blocks.mapInArrow(lambda it: _compare(it, radius, 1 << 16), "a string, b string" if not more else "a {0}, b {0}".format(nodes.schema[more[0]].dataType.simpleString()))
 
 
 def group_near_duplicates(docs: DataFrame, k: int = 3, width: int = 1, radius: int = 2, tables: list[list[int]] | None = None, id_column: str = "doc_id") -> DataFrame:
@@ -285,14 +307,84 @@ def group_near_duplicates(docs: DataFrame, k: int = 3, width: int = 1, radius: i
     return prints.join(mapped, "fingerprint").select("id", "fingerprint", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, k: int = 5, width: int = 4, radius: int = 44, key_bits: int = 16, tables: int = 32, id_column: str = "doc_id") -> DataFrame:
+def similar(a: list[bytes], b: list[bytes], k: int, percent: int) -> bool:
+    """Whether the sets of k-word shingles have at least that Jaccard similarity; wordless texts are alike."""
+    x, y = _shingles(a, k), _shingles(b, k)
+    both = len(x & y)
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _shingles(words: list[bytes], k: int) -> set[bytes]:
+    return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keep = [similar(words_of(x.as_py()), words_of(y.as_py()), k, percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts' shingles are that similar.
+
+    ``texts``: (id, node, text) of all rows; ``nodes``: (node, least id).  A node's text is
+    fetched from one of its rows, so that many copies of a text are no hot key.
+    """
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("least").alias("id"))
+    held = materialize(texts.join(needed, ["node", "id"]).select("node", "text").dropDuplicates(["node"]), "texts")
+    both = pairs.join(held.toDF("a", "text_a"), "a").join(held.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+    out = materialize(both.mapInArrow(lambda it: _verify(it, k, percent), pairs.select("a", "b").schema), "verified")
+    remove(held)
+    return out
+
+
+def similar_groups(docs: DataFrame, k: int, width: int, radius: int, percent: int, tables: list[list[int]] | None, id_column: str, text_column: str = "text") -> DataFrame:
+    """(node, least, part) of every distinct text; part is the smallest node reachable over pairs that are similar enough.
+
+    Links that some tables find as forests are verified first.  Then every pair of a block that these leave
+    in different components is verified too, as a forest's rejected link may hide an accepted one.
+    """
+    spark = ready(docs.sparkSession)
+    texts = docs.select(F.col(f"`{id_column}`").alias("id"), F.unhex(F.md5(F.coalesce(F.col(f"`{text_column}`"), F.lit("")))).alias("node"), F.col(f"`{text_column}`").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [fingerprint(words_of(t.as_py()), k, width, True).hex() for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["id", "node", "fingerprint"])
+
+    prints = materialize(texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, node binary, fingerprint string"), "prints")
+    nodes = materialize(prints.groupBy("node").agg(F.min("id").alias("least"), F.min("fingerprint").alias("fingerprint")), "nodes")
+    n, least = nodes.count(), nodes.select("node", "least")
+    tables = tables or sampled_tables(64 * width, 32, 16)
+    ordered = lambda e: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    first = materialize(ordered(links(nodes, tables[:FIRST], radius, n, ("node",))), "first")
+    sure = verified(first, texts, least, k, percent)
+    parts = connected_components(sure)
+    labelled = materialize(nodes.join(parts, "node", "left").select("node", "fingerprint", F.xxhash64(F.coalesce("component", "node")).alias("label")), "labelled")
+    more = None
+    for at in range(0, len(tables), BATCH):
+        found = materialize(ordered(links(labelled, tables[at : at + BATCH], radius, n, ("node", "label"))), "found")
+        more = found if more is None else more.union(found)
+        release(spark)
+    rest = materialize(more.distinct().join(first, ["a", "b"], "left_anti"), "rest")
+    parts = connected_components(sure.union(verified(rest, texts, least, k, percent)))
+    return materialize(nodes.join(parts, "node", "left").select("node", "least", F.coalesce("component", "node").alias("part")), "named")
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, width: int = 4, radius: int = 44, percent: int = 80, tables: list[list[int]] | None = None, id_column: str = "doc_id") -> DataFrame:
     """One document of each group stays, the one with the smallest id; the table's own columns.
 
-    Defaults find Jaccard similarities of 0.8 or more of five-word shingles: at 0.8 the angle of
-    two shingle vectors is 0.476, so 39 of 256 bits differ on average, with a standard
-    deviation of 5.7.  Rows without an id, which nothing could be told apart by, all stay.
+    A link is a pair of texts with a Jaccard similarity of at least ``percent`` of their sets of
+    five-word shingles, computed exactly; groups are the links' components.  Fingerprints only
+    find the candidates: at 0.8 the angle of two sets is 0.476, so 39 of 256 bits differ on
+    average with a standard deviation of 5.7.  Rows without an id, which nothing could be told apart by, all stay.
     """
-    grouped = group_near_duplicates(docs.filter(F.col(id_column).isNotNull()), k, width, radius, sampled_tables(64 * width, tables, key_bits), id_column)
+    some = docs.filter(F.col(id_column).isNotNull())
+    named = similar_groups(some, k, width, radius, percent, tables, id_column)
+    names = materialize(named.groupBy("part").agg(F.min("least").alias("c")), "names")
+    mapped = materialize(named.join(names, "part").select("node", "c"), "mapped")
+    ids = some.select(F.col(id_column).alias("id"), F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("node"))
+    grouped = ids.join(mapped, "node").select("id", F.col("c").alias("component_id"))
     kept = materialize(grouped.groupBy("id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")).filter("id = c").select(F.col("id").alias(id_column), "n"), "kept")
     repeated = kept.filter("n > 1").limit(1).count() > 0
     stay = docs.join(kept.select(id_column), id_column, "left_semi")
