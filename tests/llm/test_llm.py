@@ -189,6 +189,16 @@ def test_near_duplicates_below_the_similarity_stay(spark):
     assert kept == {r[0] for r in rows}
 
 
+def test_near_duplicates_at_the_similarity_are_found(spark):
+    rows = rewritten(17, 12)  # 175 of 217 shingles: 0.806
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept == set(range(60))
+    assert simhash.joint_recall(0.8, 256, 44, 16, 32) < 0.76
+    for n in (10**3, 10**6, 10**8):
+        t = simhash.tables_for(n, 0.8, 256, 63)
+        assert simhash.joint_recall(0.8, 256, 63, len(t[0]), len(t)) >= 0.999
+
+
 def test_quality_rules(spark, docs, empty):
     got = {(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules.quality_report(docs).collect()}
     for r in docs.select("doc_id", "text").collect():
