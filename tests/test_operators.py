@@ -1,9 +1,13 @@
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions import checks
 from veilspark.functions.patterns import REGISTRY, SUPPORTED
 from veilspark.operators import detect, fusion, learn, link, metrics, rating, rewrite, segment, transform, vault
+from veilspark.plans import catalogue
 from veilspark.plans.pipeline import Builder
 from veilspark.sources import files
 from veilspark.streaming import monitor
@@ -149,6 +153,29 @@ def test_rating(spark):
     assert {r.system for r in rating.pareto(p).collect()} == {"a", "b"}
 
 
+def test_elo_rates_every_system(spark):
+    rng = np.random.RandomState(4)
+    score = {f"s{i:02d}": float(x) for i, x in enumerate(rng.random(41))}
+    r, names = {n: [1500.0, 350.0, 0] for n in score}, sorted(score)
+    for _ in range(2):
+        for i, a in enumerate(names):
+            for b in names[i + 1 :]:
+                won, hoped = 1 / (1 + math.exp(-10 * (score[a] - score[b]))), 1 / (1 + 10 ** ((r[b][0] - r[a][0]) / 400))
+                step = {n: max(16, min(64, 32 * r[n][1] / 350)) for n in (a, b)}
+                r[a][0] += step[a] * (won - hoped)
+                r[b][0] += step[b] * (hoped - won)
+                for n in (a, b):
+                    r[n][2] += 1
+                    r[n][1] = max(30, 350 / math.sqrt(1 + r[n][2] / 5))
+    got = rating.elo(list(score.items()), 2)
+    assert got.keys() == r.keys() and all(np.allclose(got[n], r[n], rtol=0, atol=1e-6) for n in r)
+    assert rating.elo([]) == {} and rating.elo([("a", 0.5)]) == {"a": (1500.0, 350.0, 0)}
+    folder = "/root/testdata/sf0.1"
+    suppliers = catalogue.table(spark, folder, "supplier").count()
+    rows = catalogue.queries()["elo_fold"](spark, folder).collect()
+    assert len({x.system for x in rows}) == len(rows) == suppliers and {x.matches for x in rows} == {suppliers - 1}
+
+
 def test_dawid_skene(spark):
     rows = [(i, e, "x" if (i % 2 == 0) != (e == "bad" and i % 3 == 0) else "y") for i in range(30) for e in ("good", "fair", "bad")]
     out, _ = learn.dawid_skene(spark.createDataFrame(rows, "item_id bigint, engine_id string, label string"), 3)

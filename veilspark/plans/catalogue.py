@@ -627,8 +627,8 @@ def pareto_frontier(spark, sf_dir):
 
 @query()
 def elo_fold(spark, sf_dir):
-    s = systems(spark, sf_dir).withColumn("composite", rating.composite()).filter("system < 12")
-    return rating.elo_ratings(s.select(F.lpad(F.col("system").cast("string"), 3, "0").alias("system"), "composite"))
+    s = systems(spark, sf_dir).withColumn("composite", rating.composite())
+    return rating.elo_ratings(s.select(F.format_string("%03d", "system").alias("system"), "composite"))
 
 
 @query(f"with {SYSTEMS} select system, row_number() over (order by score desc, system) as rank from c")
