@@ -74,17 +74,76 @@ def test_packing(spark, docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
-def test_bin_completion_beats_or_meets_best_fit():
-    rng = np.random.RandomState(1)
-    for _ in range(20):
-        counts = Counter(rng.randint(1, 60, 40).tolist())
-        found = packing.bin_completion(dict(counts), 100)
+def fewest(items, capacity):
+    """The fewest sequences by trying all assignments."""
+    items = sorted(items, reverse=True)
+
+    def fits(k):
+        room, seen = [capacity] * k, set()
+
+        def go(at):
+            if at == len(items):
+                return True
+            state = (at, tuple(sorted(room)))
+            if state in seen:
+                return False
+            seen.add(state)
+            for b in range(k):
+                if room[b] >= items[at] and room[b] not in room[:b]:
+                    room[b] -= items[at]
+                    if go(at + 1):
+                        return True
+                    room[b] += items[at]
+            return False
+
+        return go(0)
+
+    k = -(-sum(items) // capacity)
+    while not fits(k):
+        k += 1
+    return k
+
+
+def test_bin_completion_is_the_optimum_on_small_cases():
+    rng, searched, better = np.random.RandomState(1), 0, 0
+    for _ in range(150):
+        capacity = int(rng.choice([20, 50, 100]))
+        items = rng.randint(max(1, capacity // 6), capacity // 2 + 4, rng.randint(1, 14)).tolist()
+        found = packing.bin_completion(Counter(items), capacity)
         held = Counter()
-        for pattern, n in found:
-            assert sum(a * k for a, k in pattern) <= 100
+        for pattern, n in found.patterns:
+            assert sum(a * k for a, k in pattern) <= capacity
             for a, k in pattern:
                 held[a] += n * k
-        assert held == counts and sum(n for _, n in found) <= sum(n for _, n in packing.best_fit_decreasing(dict(counts), 100))
+        assert held == Counter(items) and found.optimal and found.sequences == fewest(items, capacity)
+        searched += found.nodes > 0
+        better += found.sequences < sum(n for _, n in packing.best_fit_decreasing(Counter(items), capacity))
+    assert searched > 5 and better > 2
+    assert packing.bin_completion({}, 100).patterns == []
+
+
+def test_bin_completion_stops_at_its_limits_with_a_whole_packing():
+    items = Counter(np.random.RandomState(4).randint(800, 2100, 400).tolist())
+    found = packing.bin_completion(items, 4096, nodes=30, steps=200)
+    held = Counter()
+    for pattern, n in found.patterns:
+        for a, k in pattern:
+            held[a] += n * k
+    assert held == items and found.nodes <= 30 and found.sequences >= found.bound
+
+
+def test_words_of_the_packing_vocabulary_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), packing.WordTokenizer(path, keep=500)
+    rng = np.random.RandomState(5)
+    letters = list("aAbBsSt'mdlrve \u2019\u00e9\u00c9\u00df\u1e9e\u0130\u0131\u00f1\u00d10129\u0663 \t\n\x0b\x0c\r\x1c\x85\xa0 #$%<|>\u00aa\u00d7\u4e2d\U0001f600\u0301\u0308_-.,\u00b2\ufb01\u03a3\x00\x7f")
+    texts = ["".join(rng.choice(letters, rng.randint(0, 30))) for _ in range(2000)] + ["<|endoftext|>", "a<|startoftext|>b", "don't DON'T it'll 'Re", "etaoin" * 500]
+    texts += ["".join(rng.choice(list("etaoinshrdlu"), rng.randint(1, 20))) for _ in range(2000)]
+    for at in range(0, len(texts), 300):
+        for text, ids in zip(texts[at : at + 300], own.encode(texts[at : at + 300]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
 def test_url_filters(spark):

@@ -32,12 +32,14 @@ def ready(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the setting is unset, as in tests on one machine, a temporary folder is
-    used and removed when the interpreter ends.
+    Where the setting is unset and executors run on the driver's machine, as in tests, a
+    temporary folder is used and removed when the interpreter ends; on a cluster it must be set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="veilspark-")
