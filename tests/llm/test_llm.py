@@ -252,10 +252,70 @@ def test_near_duplicates_at_the_similarity_are_found(spark):
     rows = rewritten(17, 12)  # 175 of 217 shingles: 0.806
     kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert kept == set(range(60))
-    assert simhash.joint_recall(0.8, 256, 44, 16, 32) < 0.76
-    for n in (10**3, 10**6, 10**8):
-        t = simhash.tables_for(n, 0.8, 256, 63)
-        assert simhash.joint_recall(0.8, 256, 63, len(t[0]), len(t)) >= 0.999
+    assert simhash.joint_recall(0.8, 256, 63, 8, 2) >= 0.999
+
+
+def variants(seed, n):
+    """Texts around one text, each with up to a third of its words changed, so that some are near duplicates of some."""
+    rng = np.random.RandomState(seed)
+    base = [f"w{x}" for x in rng.randint(0, 10**6, 120)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        at, run = rng.randint(0, 80), rng.randint(0, 40)
+        w[at : at + run] = [f"v{x}" for x in rng.randint(0, 10**6, run)]
+        out.append(" ".join(w))
+    return out
+
+
+def brute_groups(texts, linked):
+    part = list(range(len(texts)))
+
+    def top(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if linked(i, j):
+                a, b = top(i), top(j)
+                part[max(a, b)] = min(a, b)
+    return [top(i) for i in range(len(texts))]
+
+
+def test_a_hot_group_of_near_copies_in_many_chunks(spark):
+    rows = list(enumerate(variants(21, 150) + [None, "", " \n", "one"] + variants(22, 30)))
+    words = [simhash.words_of(t) for _, t in rows]
+    part = brute_groups(words, lambda i, j: simhash.similar(words[i], words[j], 5, 80))
+    assert 5 < len(set(part)) < 150
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    for chunk in (8, 1 << 11):
+        kept = {r.doc_id for r in simhash.drop_near_duplicates(df, chunk=chunk).collect()}
+        assert kept == set(part), chunk
+
+
+def test_hot_buckets_of_fingerprints_in_many_chunks(spark):
+    rng = np.random.RandomState(8)
+    base = rng.randint(0, 256, (3, 8), dtype=np.uint8)
+    bits = np.unpackbits(np.repeat(base, 70, axis=0), axis=1) ^ (rng.random((210, 64)) < 0.03).astype(np.uint8)
+    fps = np.unique(np.packbits(bits, axis=1), axis=0)
+    rows = [(1, i, f.tobytes()) for i, f in enumerate(fps)] + [(2, i, f.tobytes()) for i, f in enumerate(fps[:20])]
+    part = brute_groups(fps, lambda i, j: np.unpackbits(fps[i] ^ fps[j]).sum() <= 2)
+    assert 5 < len(set(part)) < len(fps) - 20
+    df = spark.createDataFrame(rows, "block bigint, node bigint, fp binary")
+    for chunk in (7, 64, 4096):
+        edges = [(r.a, r.b) for r in simhash.block_links(df, 2, chunk).collect()]
+        assert len(edges) < 12 * len(fps)
+        mine = brute_groups(fps, lambda i, j, e={frozenset(x) for x in edges}: frozenset((i, j)) in e)
+        assert mine == part, chunk
+
+
+def test_rows_that_share_an_id_are_told_apart_by_text(spark):
+    a, b, c = variants(31, 1)[0], variants(32, 1)[0], variants(33, 1)[0]
+    rows = [(5, a, "x"), (5, b, "x"), (5, b, "x"), (4, a, "y"), (9, c, "z"), (9, c, "y")]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string, _node string"))
+    assert pairs(kept, "doc_id", "text", "_node") == sorted([(4, a, "y"), (5, b, "x"), (9, c, "y")], key=repr)
 
 
 def test_quality_rules(spark, docs, empty):
