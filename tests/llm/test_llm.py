@@ -6,6 +6,7 @@ import re
 import tarfile
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -428,7 +429,38 @@ def test_media_columns(spark, docs, empty, tmp_path):
         with tarfile.open(shard.removeprefix("file://")) as t:
             assert all(m.name.endswith(".png") for m in t.getmembers())
     heads = {r.digest: r.height for r in media_columns.read_headers(places).collect()}
-    assert len(heads) == len(digests) and media_columns.media_report(docs).count() == docs.count() and media_columns.media_report(empty).count() == 0
+    assert len(heads) == len(digests) == places.count()
+    assert media_columns.media_report(empty).count() == 0
+
+
+def test_media_report_is_what_the_files_hold(spark, docs, tmp_path):
+    from collections import Counter as count
+
+    text = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    rows = media_columns.media_report(docs, f"file://{tmp_path}/shards").collect()
+    assert count(r.doc_id for r in rows) == count(r.doc_id for r in docs.collect())
+    for r in rows:
+        raw = (text[r.doc_id] or "").encode()
+        payload = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
+        with open(r.shard.removeprefix("file://"), "rb") as f:
+            f.seek(r.offset)
+            media = f.read(r.length)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(payload[-64:]) and r.media_bytes == len(media) and r.media_sha256 == hashlib.sha256(media).hexdigest()
+        assert (r.width, r.height, r.depth, r.colour) == (64, len(payload) // 64, 8, 0) and r.digest == r.payload_sha256
+        n, by = len(payload), count(payload)
+        entropy = -sum(c / n * math.log2(c / n) for c in by.values())
+        assert r.feature.startswith(f"png 64x{n // 64}x8 distinct={len(by)} mean={sum(payload) / n:.6f} ") and abs(float(r.feature.rpartition("=")[2]) - entropy) < 2e-6
+
+
+def test_a_digest_is_stored_once_though_bits_collide(spark, docs, tmp_path):
+    many = docs.unionByName(docs).repartition(5)
+    for bits in (8, 1 << 20):
+        folder = f"{tmp_path}/{bits}"
+        rows, places = media_columns.store(many, f"file://{folder}", bits=bits)
+        stored = Counter(m.name for shard in Path(folder).iterdir() for m in tarfile.open(shard).getmembers())
+        assert set(stored.values()) == {1} and {f"{r.digest}.png" for r in rows.collect()} == set(stored)
+        assert places.count() == len(stored)
 
 
 def test_sharding(spark, docs, empty):

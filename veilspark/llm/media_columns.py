@@ -1,11 +1,14 @@
 """Media columns: content-addressed payloads in tar shards.
 
 Every task packs its payloads, each as a PNG of 64 eight-bit grey samples a row, into tar shards in
-the shared folder, under the payload's SHA-256 and once however often it repeats in the task; rows
-carry digest, shard, offset and length.  One place is then chosen for each digest by an
-aggregation, so equal payloads share one place for all rows and what other tasks stored under the
-same digest is not read.  Metadata columns come from range reads of the 33 header bytes alone;
-whole payloads are read back only for the features.
+the shared folder, under the payload's SHA-256; rows carry digest, shard, offset and length.
+Metadata columns come from range reads of the 33 header bytes alone; whole payloads are read
+back only for the features.
+
+A digest is stored once.  Digests are counted first (no texts move), and those that stand on more
+than one row are marked in a bitmap of fixed size.  A payload whose bit isn't set is stored by
+the task that reads it; of the others each task hands on one text a digest, and these few
+are shuffled by digest and stored.  A bit that digests share only sends a text the long way.
 
 A shard's name holds a random part, so an attempt that is run again never writes into
 the file of another; rows and shards are both written before anything reads them.
@@ -33,6 +36,8 @@ from veilspark.llm.common import materialize, ready, work_path
 WIDTH = 64
 #: Signature and IHDR chunk: all that metadata needs.
 HEADER = 33
+#: Bits of the bitmap of repeated digests: 8 MB.
+BITS = 1 << 26
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -118,34 +123,68 @@ class _Shards:
             self.out = None
 
 
-def store(docs: DataFrame, folder: str | None = None, id_column: str = "doc_id", text_column: str = "text", shard_bytes: int = 1 << 28) -> tuple[DataFrame, DataFrame]:
+def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, n_bytes, digest) of every row, without Python."""
+    raw = F.coalesce(F.col(f"`{text_column}`").cast("binary"), F.lit(b""))
+    n = F.octet_length(raw)
+    zeros = F.when(n == 0, WIDTH).otherwise(F.pmod(-n, F.lit(WIDTH))).cast("int")
+    payload = F.concat(raw, F.substring(F.lit(b"\0" * WIDTH), F.lit(1), zeros))
+    return docs.select(F.col(f"`{id_column}`").alias("id"), n.cast("bigint").alias("n_bytes"), F.sha2(payload, 256).alias("digest"))
+
+
+def _bit(digest: str, bits: int) -> int:
+    return int(digest[:15], 16) % bits
+
+
+def repeated_bits(rows: DataFrame, bits: int = BITS) -> bytes:
+    """A bitmap with the bits of the digests on more than one row: ``bits`` bits come to the driver, whatever the input."""
+    spot = F.pmod(F.conv(F.substring("digest", 1, 15), 16, 10).cast("bigint"), F.lit(bits))
+    many = rows.groupBy("digest").count().filter("count > 1").select((spot + 1).alias("spot"))  # Spark's bitmaps begin at 1
+    parts = many.groupBy(F.bitmap_bucket_number(F.col("spot")).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("spot"))).alias("marks"))
+    out = np.zeros(bits, bool)
+    for r in parts.toLocalIterator():
+        marks = np.unpackbits(np.frombuffer(bytes(r.marks), np.uint8), bitorder="little").astype(bool)
+        here = out[(r.bucket - 1) * len(marks) : r.bucket * len(marks)]
+        here |= marks[: len(here)]
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def store(docs: DataFrame, folder: str | None = None, id_column: str = "doc_id", text_column: str = "text", shard_bytes: int = 1 << 28, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """Write the payloads; (id, n_bytes, digest) of every row and (digest, shard, offset, length) of every digest."""
     spark = ready(docs.sparkSession)
     folder = folder or work_path(spark, "shards")
-    kind = docs.schema[id_column].dataType.simpleString()
-    src = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
+    rows = materialize(digests(docs, id_column, text_column), "rows")
+    held = spark.sparkContext.broadcast(repeated_bits(rows, bits))
+    names = ["digest", "shard", "offset", "length", "text"]
+    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], direct: bool) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shards, known = _Shards(folder, TaskContext.get().partitionId(), shard_bytes), {}
+        shards, seen, marks = _Shards(folder, TaskContext.get().partitionId(), shard_bytes), set(), held.value
+        before = None
         for b in batches:
-            rows = []
-            for t in b.column(1):
-                n, payload = padded(t.as_py())
-                digest = hashlib.sha256(payload).digest()
-                if digest not in known:
-                    known[digest] = shards.add(digest.hex() + ".png", to_png(payload))
-                rows.append((n, digest.hex(), *known[digest]))
-            if rows:
-                types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["id", "n_bytes", "digest", "shard", "offset", "length"])
+            out = []
+            for t in b.column(b.num_columns - 1):
+                text = t.as_py()
+                payload = padded(text)[1]
+                digest = hashlib.sha256(payload).hexdigest()
+                if direct and marks[(n := _bit(digest, bits)) >> 3] >> (n & 7) & 1:
+                    if digest not in seen:
+                        seen.add(digest)
+                        out.append((digest, None, None, None, text or ""))
+                elif direct or digest != before:  # the second time, equal digests come one after the other
+                    out.append((digest, *shards.add(digest + ".png", to_png(payload)), None))
+                before = digest
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
         shards.close()
 
-    rows = materialize(src.mapInArrow(run, f"id {kind}, n_bytes bigint, digest string, shard string, offset bigint, length bigint"), "rows")
-    at = materialize(rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")), "places")
-    return rows.select("id", "n_bytes", "digest"), at.select("digest", "at.*")
+    schema = "digest string, shard string, offset bigint, length bigint, text string"
+    first = materialize(docs.select(F.col(f"`{text_column}`").alias("text")).mapInArrow(lambda it: run(it, True), schema), "first")
+    later = first.filter("text is not null").select("digest", "text").repartition("digest").sortWithinPartitions("digest")
+    second = materialize(later.mapInArrow(lambda it: run(it, False), schema), "second")
+    return rows, first.filter("text is null").drop("text").union(second.drop("text"))
 
 
 def _read(places: DataFrame, schema: str, make) -> DataFrame:
@@ -195,20 +234,27 @@ def read_payloads(places: DataFrame) -> DataFrame:
         sha = hashlib.sha256(payload).hexdigest()
         if sha != digest:
             raise ValueError(f"payload {digest} is damaged")
-        return digest, len(payload), sha, zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(payload, head), head["width"], head["height"]
+        return digest, len(payload), sha, zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(payload, head)
 
-    schema = "digest string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, width int, height int"
+    schema = "digest string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
     return _read(places, schema, make)
 
 
-def media_columns(docs: DataFrame, folder: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows with digest, shard, offset and length, and metadata columns read from headers alone."""
+def described(docs: DataFrame, folder: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows (id, n_bytes, digest), and for each digest its place and the metadata columns read from its header alone."""
     rows, places = store(docs, folder, id_column, text_column)
-    heads = materialize(places.join(read_headers(places), "digest"), "heads")
+    return rows, materialize(places.join(read_headers(places), "digest"), "heads")
+
+
+def media_columns(docs: DataFrame, folder: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Rows with digest, shard, offset and length, and the metadata columns."""
+    rows, heads = described(docs, folder, id_column, text_column)
     return rows.join(heads, "digest")
 
 
-def media_report(docs: DataFrame) -> DataFrame:
-    rows, places = store(docs)
-    found = materialize(read_payloads(places), "features")
-    return rows.join(found, "digest").select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+def media_report(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """The media columns and what the payloads give when they are read back."""
+    rows, heads = described(docs, folder)
+    found = materialize(heads.join(read_payloads(heads), "digest"), "features")
+    columns = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length", "width", "height", "depth", "colour"]
+    return rows.join(found, "digest").select(F.col("id").alias("doc_id"), *columns)
