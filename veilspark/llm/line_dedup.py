@@ -58,8 +58,8 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     return materialize(sure.union(told), "boilerplate")
 
 
-def _cut(batches: Iterator[pa.RecordBatch], at: int, gone: int) -> Iterator[pa.RecordBatch]:
-    """Rewrite the texts (column ``at``) of rows with lines to go (column ``gone``, dropped)."""
+def _cut(batches: Iterator[pa.RecordBatch], at: int, gone: int, count: str) -> Iterator[pa.RecordBatch]:
+    """Rewrite the texts (column ``at``) of rows with lines to go (column ``gone``, dropped); ``count`` names the new column."""
     for b in batches:
         lost = b.column(gone)
         counts = [0] * b.num_rows
@@ -74,7 +74,7 @@ def _cut(batches: Iterator[pa.RecordBatch], at: int, gone: int) -> Iterator[pa.R
             texts = pa.array(new, b.schema.field(at).type)
         columns = [texts if i == at else c for i, c in enumerate(b.columns) if i != gone]
         names = [n for i, n in enumerate(b.schema.names) if i != gone]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*names, "_removed"])
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*names, count])
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = 10, id_column: str = "doc_id", text_column: str = "text", site_column: str = "source") -> tuple[DataFrame, str]:
@@ -89,7 +89,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, id_column: str = "d
     met = keyed.join(gone.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("gone").alias(lost)), [k1, k2], "left").select(*[f"`{c}`" for c in docs.columns], lost)
     at, end = docs.columns.index(text_column), len(docs.columns)
     schema = docs.select("*", F.lit(0).cast("bigint").alias(count)).schema
-    return met.mapInArrow(lambda it: _cut(it, at, end), schema), count
+    return met.mapInArrow(lambda it: _cut(it, at, end, count), schema), count
 
 
 def line_report(docs: DataFrame, min_sites: int = 10) -> DataFrame:
