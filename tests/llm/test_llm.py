@@ -478,6 +478,18 @@ def test_sharding(spark, docs, empty):
     sizes = [r.b for r in sharding.shard_report(many).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
     assert len(sizes) == 16 and max(sizes) - min(sizes) < 0.02 * sum(sizes) / 16
     assert sharding.shard_report(empty).count() == 0
+    copies = spark.range(3000).selectExpr("id as doc_id", "repeat('ab ', cast(1 + id % 201 as int)) as text")
+    for made, shards in ((sharding.shard(copies), 16), (sharding.shard(copies, 12, most_leaves=4), 12)):
+        rows = made.collect()
+        held, slots = defaultdict(set), defaultdict(list)
+        for r in rows:
+            held[r.text_crc32].add(r.shard)
+            slots[r.shard].append(r.slot)
+        sizes = Counter()
+        for r in rows:
+            sizes[r.shard] += r.size
+        assert len(rows) == 3000 and sorted(slots) == list(range(shards)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+        assert sum(len(x) > 1 for x in held.values()) <= shards - 1 and max(sizes.values()) < 1.06 * sum(sizes.values()) / shards
 
 
 def test_bpe_trie(spark, docs, empty):

@@ -61,6 +61,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def partitioned(df: DataFrame, column: str) -> DataFrame:
+    """Like materialize(), in a folder for each value of a column, so that a filter on it reads no other."""
+    spark = df.sparkSession
+    path = work_path(spark, f"by_{column}")
+    df.write.partitionBy(column).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def remove(df: DataFrame) -> None:
     """Delete a table that materialize() wrote, once nothing reads it any more."""
     path = getattr(df, "_veilspark_path", None)

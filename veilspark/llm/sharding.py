@@ -9,7 +9,8 @@ CASE expression, so dealing the rows out takes a projection and no shuffle.
 
 A row's coordinate on a dimension is followed by the CRC-32 of its text, so equal texts share
 all coordinates and go to one leaf together.  A cut moves to the edge of such a group if that
-costs no more than the tolerance; only a group too large for that is cut itself, by row.
+costs no more than the tolerance, a hundredth of a shard's bytes; only a group too large for that is cut
+itself, by row.
 
 Slots are numbered without putting a shard into one task: rows fall by hash into parts
 of about a thousand, parts are counted, and a row's slot is its place in its part after the
@@ -22,11 +23,12 @@ other columns play no part; repeated rows are rows of their own; an empty table
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import materialize
+from veilspark.llm.common import materialize, partitioned
 
 #: Intervals of a histogram round.
 INTERVALS = 4096
@@ -74,12 +76,10 @@ def leaf_of(tree: Node, keys: list[Column], row: Column) -> Column:
     return F.when(goes, leaf_of(tree.left, keys, row)).otherwise(leaf_of(tree.right, keys, row))
 
 
-def build_tree(meta: DataFrame, keys: list[Column], row: Column, leaves: int, tolerance: float = 0.002) -> Node:
-    """Split until every leaf has an equal share of the bytes, up to ``tolerance`` of a share."""
-    if leaves > MOST_LEAVES:
-        raise ValueError(f"at most {MOST_LEAVES} leaves; shard the shards for more")
-    root = Node(leaves, 0)
-    open_ = [root] if leaves > 1 else []
+def build_tree(meta: DataFrame, keys: list[Column], row: Column, leaves: int, first: int = 0, stop: int = 1, tolerance: float = 0.01) -> Node:
+    """Split until every leaf, or node of ``stop`` leaves, has an equal share of the bytes, up to ``tolerance`` of a share."""
+    root = Node(leaves, first)
+    open_ = [root] if leaves > stop else []
     share = None
     while open_:
         at = leaf_of(root, keys, row)
@@ -141,15 +141,20 @@ def build_tree(meta: DataFrame, keys: list[Column], row: Column, leaves: int, to
         for n in open_:
             half = n.leaves // 2
             n.left, n.right = Node(half, n.first), Node(n.leaves - half, n.first + half)
-            new += [x for x in (n.left, n.right) if x.leaves > 1]
+            new += [x for x in (n.left, n.right) if x.leaves > stop]
         open_ = new
     return root
 
 
-def shard(docs: DataFrame, shards: int | None = 16, target_bytes: int | None = None, id_column: str = "doc_id", text_column: str = "text", part_rows: int = 1000) -> DataFrame:
+def top_nodes(tree: Node) -> list[Node]:
+    return [tree] if tree.left is None else top_nodes(tree.left) + top_nodes(tree.right)
+
+
+def shard(docs: DataFrame, shards: int | None = 16, target_bytes: int | None = None, id_column: str = "doc_id", text_column: str = "text", part_rows: int = 1000, most_leaves: int = MOST_LEAVES) -> DataFrame:
     """(id, size, text_crc32, shard, slot) of every row.
 
-    ``target_bytes``, where given, sets the number of shards: bytes / target, rounded up.
+    ``target_bytes``, where given, sets the number of shards: bytes / target, rounded up.  More
+    than ``most_leaves`` shards make trees of two levels.
     """
     meta = metadata(docs, id_column, text_column)
     spans = meta.agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), *[f(d).alias(f"{x}_{d}") for d in DIMENSIONS for x, f in (("lo", F.min), ("hi", F.max))]).first()
@@ -160,9 +165,16 @@ def shard(docs: DataFrame, shards: int | None = 16, target_bytes: int | None = N
     place = lambda d: F.floor((F.col(d) - F.lit(spans[f"lo_{d}"] or 0.0)) * F.lit(scale(d))).cast("long")
     keys = [F.shiftleft(place(d), 32) + F.col("text_crc32") for d in DIMENSIONS]
     row = F.shiftrightunsigned(F.xxhash64("row"), 2)
-    tree = build_tree(meta, keys, row, shards)
     parts = max(1, -(-(spans.n or 0) // (shards * part_rows)))
-    dealt = meta.select("id", "size", "text_crc32", leaf_of(tree, keys, row).cast("int").alias("shard"), row.alias("row"), F.pmod(F.xxhash64("row", F.lit(1)), F.lit(parts)).cast("int").alias("part"))
+    part = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(parts)).cast("int").alias("part")
+    deal = lambda rows, tree: rows.select("id", "size", "text_crc32", leaf_of(tree, keys, row).cast("int").alias("shard"), row.alias("row"), part)
+    top = build_tree(meta, keys, row, shards, stop=most_leaves)
+    if top.left is None:
+        dealt = deal(meta, build_tree(meta, keys, row, shards))
+    else:  # a tree of its own below each of the top's nodes, over the rows of that node
+        below = top_nodes(top)
+        met = partitioned(meta.withColumn("node", leaf_of(top, keys, row)), "node")
+        dealt = reduce(DataFrame.union, [deal(own, build_tree(own, keys, row, n.leaves, n.first)) for n in below for own in [met.filter(F.col("node") == n.first).drop("node")]])
     counts = materialize(dealt.groupBy("shard", "part").agg(F.count("*").alias("n")), "counts")
     before = counts.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))
     number = F.row_number().over(Window.partitionBy("shard", "part").orderBy("row"))
