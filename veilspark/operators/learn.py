@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.operators.metrics import matched_counts, prf
+from veilspark.operators.metrics import prf
 
 
 def majority_vote(votes: DataFrame) -> DataFrame:
@@ -24,15 +24,15 @@ def dawid_skene(votes: DataFrame, iterations: int = 10, smoothing: float = 0.01)
     """
     spark = votes.sparkSession
     cut = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df)
-    labels = [r.label for r in votes.select("label").distinct().orderBy("label").limit(1000).collect()]
-    k = len(labels)
+    labels = votes.select("label").filter("label is not null").distinct()
+    k = labels.count()
     n = votes.groupBy("item_id").agg(F.count("*").alias("n"))
     post = votes.groupBy("item_id", "label").agg(F.count("*").alias("c")).join(n, "item_id").select("item_id", F.col("label").alias("truth"), (F.col("c") / F.col("n")).alias("p"))
     confusion = votes.limit(0)
     for _ in range(iterations):
         joint = votes.join(post, "item_id").groupBy("engine_id", "truth", "label").agg(F.sum("p").alias("w"))
-        grid = joint.select("engine_id").distinct().select("engine_id", F.explode(F.array(*map(F.lit, labels))).alias("truth"))
-        grid = grid.select("engine_id", "truth", F.explode(F.array(*map(F.lit, labels))).alias("label"))
+        one = lambda name: labels.select(F.col("label").alias(name), F.lit(1).alias("_all"))
+        grid = joint.select("engine_id", F.lit(1).alias("_all")).distinct().join(one("truth"), "_all").join(one("label"), "_all").drop("_all")
         full = grid.join(joint, ["engine_id", "truth", "label"], "left").fillna(0.0, ["w"]).withColumn("w", F.col("w") + smoothing)
         confusion = cut(full.withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy("engine_id", "truth"))).select("engine_id", "truth", "label", "p"))
         prior = post.groupBy("truth").agg(F.sum("p").alias("w")).withColumn("prior", (F.col("w") + smoothing) / (F.sum("w").over(Window.partitionBy()) + smoothing * k)).select("truth", "prior")
@@ -46,10 +46,15 @@ def dawid_skene(votes: DataFrame, iterations: int = 10, smoothing: float = 0.01)
 
 def offline_calibration(predicted: DataFrame, gold: DataFrame, least: int = 5) -> DataFrame:
     """(engine_id, entity_type, f1, support) of engines' spans, where gold has ``least`` of the type or more."""
-    engines = predicted.select("engine_id").distinct()
-    each = gold.join(engines)  # a handful of engines
-    c = matched_counts(predicted, each, ["engine_id", "record_id", "entity_type", "start", "end"], ["engine_id", "entity_type"])
-    return c.filter(F.col("gold") >= least).select("engine_id", "entity_type", F.col("gold").alias("support"), *prf(F.col("tp"), F.col("predicted"), F.col("gold")))
+    keys = ["record_id", "entity_type", "start", "end"]
+    p = predicted.groupBy("engine_id", *keys).agg(F.count("*").alias("p"))
+    g = gold.groupBy(*keys).agg(F.count("*").alias("g"))
+    met = p.join(g, keys, "left").groupBy("engine_id", "entity_type").agg(F.sum(F.least("p", F.coalesce("g", F.lit(0)))).alias("tp"), F.sum("p").alias("predicted"))
+    totals = gold.groupBy("entity_type").agg(F.count("*").alias("gold")).filter(F.col("gold") >= least)
+    engines = predicted.select("engine_id", F.lit(1).alias("_all")).distinct()
+    grid = engines.join(totals.withColumn("_all", F.lit(1)), "_all").drop("_all")  # a row for each engine and type
+    c = grid.join(met, ["engine_id", "entity_type"], "left").fillna(0, ["tp", "predicted"])
+    return c.select("engine_id", "entity_type", F.col("gold").alias("support"), *prf(F.col("tp"), F.col("predicted"), F.col("gold")))
 
 
 def calibrated_strengths(experts: DataFrame, measured: DataFrame, least: int = 5) -> DataFrame:

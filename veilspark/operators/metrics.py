@@ -75,7 +75,7 @@ def overlap_matches(predicted: DataFrame, gold: DataFrame, threshold: float = 0.
 def overlap_scores(predicted: DataFrame, gold: DataFrame, threshold: float = 0.5, drop_unknown_types: bool = True) -> DataFrame:
     """The benchmark's rule: same type, overlap of a half or more; predictions of types that gold lacks don't count."""
     if drop_unknown_types:
-        predicted = predicted.join(F.broadcast(gold.select("entity_type").distinct().limit(10_000)), "entity_type", "left_semi")
+        predicted = predicted.join(gold.select("entity_type").distinct(), "entity_type", "left_semi")
     tp = overlap_matches(predicted, gold, threshold).groupBy("entity_type").agg(F.sum("tp").alias("tp"))
     count = lambda df, n: df.groupBy("entity_type").agg(F.count("*").alias(n))
     c = count(predicted, "predicted").join(count(gold, "gold"), "entity_type", "full").join(tp, "entity_type", "left").fillna(0, ["tp", "predicted", "gold"])
@@ -282,22 +282,11 @@ def cohens_d(df: DataFrame) -> DataFrame:
 # statistics of samples --------------------------------------------------------------------
 
 
-def bootstrap_interval(df: DataFrame, value: str = "value", draws: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """Percentile interval of the mean by Poisson weights: one pass, rows never leave their tasks.
+def sample_for_effect(effect: float, z_alpha: float = 1.959963984540054, z_power: float = 0.8416212335729143) -> int:
+    """Rows that an effect of that size takes to be seen."""
+    import math
 
-    A weight is a draw from Poisson(1), found by comparing a hash of row and draw with its distribution.
-    """
-    row = df.select(F.col(value).cast("double").alias("x"), F.monotonically_increasing_id().alias("r"))
-    each = row.select("x", "r", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
-    u = F.pmod(F.xxhash64("r", "b", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    total, p, w = 0.0, 0.36787944117144233, F.lit(0)
-    for k in range(10):
-        total += p
-        w = w + (u >= total).cast("int")
-        p /= k + 1
-    sums = each.withColumn("w", w).groupBy("b").agg(F.sum(F.col("x") * F.col("w")).alias("s"), F.sum("w").alias("n")).filter("n > 0").select((F.col("s") / F.col("n")).alias("m"))
-    a = (1 - level) / 2
-    return sums.agg(F.percentile("m", F.lit(a)).alias("low"), F.percentile("m", F.lit(1 - a)).alias("high"), F.stddev_pop("m").alias("error"))
+    return math.ceil(((z_alpha + z_power) / effect) ** 2)
 
 
 def sample_size(population: int, z: float = 1.959963984540054, margin: float = 0.05, variance: float = 0.25) -> int:

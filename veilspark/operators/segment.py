@@ -16,7 +16,14 @@ def context_tier(text: Column) -> Column:
     return F.when(n < 100, "short").when(n < 1000, "medium").when(n < 10000, "long").otherwise("very_long")
 
 
-def segments(texts: DataFrame, max_tokens: int = 512, overlap: int = 32) -> DataFrame:
+def chunks(texts: DataFrame, max_tokens: int = 4096, overlap: int = 128) -> DataFrame:
+    """The windows of a chunker that reads on: like segments(), and one more with the overlap alone where a window ends with the text."""
+    if not 0 <= overlap < max_tokens:
+        raise ValueError("the overlap must be less than a window")
+    return segments(texts, max_tokens, overlap, trailing=True)
+
+
+def segments(texts: DataFrame, max_tokens: int = 512, overlap: int = 32, trailing: bool = False) -> DataFrame:
     """(doc_id, segment, token_start, token_end, char_start, char_end, text) windows of every text.
 
     A step is ``max_tokens - overlap``; the last window is the first that reaches the last
@@ -28,6 +35,8 @@ def segments(texts: DataFrame, max_tokens: int = 512, overlap: int = 32) -> Data
     # what a token takes with the gap before it; offsets are sums of these, for the windows' ends only
     cut = cut.select("doc_id", "text", F.transform("g", F.length).alias("gap"), F.zip_with("g", "w", lambda g, w: F.length(g) + F.coalesce(F.length(w), F.lit(0))).alias("len"), F.size("w").alias("n"))
     count = F.when(F.col("n") <= max_tokens, 1).otherwise(1 + F.ceil((F.col("n") - max_tokens) / step)).cast("int")
+    if trailing and overlap:
+        count = count + ((F.col("n") >= max_tokens) & ((F.col("n") - max_tokens) % step == 0)).cast("int")
     cut = cut.select("*", F.explode(F.sequence(F.lit(0), count - 1)).alias("segment"))
     a = F.col("segment") * step
     z = F.least(a + max_tokens, F.col("n")) - 1

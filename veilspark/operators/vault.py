@@ -58,3 +58,12 @@ def detokenize_texts(texts: DataFrame, store: DataFrame, scope: Column | None =
     joined = named.join(known, ["doc_id", "field_path"], "left")
     shown = F.transform(F.arrays_zip(gaps.alias("g"), parts.alias("t")), lambda z: F.concat(z["g"], F.coalesce(F.try_element_at(F.col("known"), z["t"]), z["t"], F.lit(""))))
     return joined.select("doc_id", "field_path", F.when(F.col("known").isNull(), F.col("text")).otherwise(F.array_join(shown, "")).alias("text"))
+
+
+def detokenize_payload(records: DataFrame, store: DataFrame, id_column: str, fields: list[str], scope: Column | None = None, now: float = 0.0) -> DataFrame:
+    """Records with every known token in their fields replaced; unknown ones stay."""
+    cells = F.array(*[F.struct(F.lit(f).alias("field_path"), F.col(f"`{f}`").cast("string").alias("text")) for f in fields])
+    long = records.select(F.col(f"`{id_column}`").alias("doc_id"), F.explode(cells).alias("c")).select("doc_id", "c.field_path", "c.text")
+    back = detokenize_texts(long, store, scope, now).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field_path", "text"))).alias("_cells"))
+    joined = records.join(back.withColumnRenamed("doc_id", id_column), id_column, "left")
+    return joined.withColumns({f: F.try_element_at("_cells", F.lit(f)) for f in fields}).drop("_cells")

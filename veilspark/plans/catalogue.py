@@ -728,11 +728,6 @@ def mention_consistency(spark, sf_dir):
     return metrics.consistency(m).withColumn("score", r6("score"))
 
 
-@query()
-def bootstrap_ci(spark, sf_dir):
-    return metrics.bootstrap_interval(table(spark, sf_dir, "labels").select(F.col("quality").alias("value")), draws=200)
-
-
 @query()
 def html_text_nodes(spark, sf_dir):
     return files.html_nodes(table(spark, sf_dir, "pages"))
@@ -748,3 +743,6 @@ def bio_spans(spark, sf_dir):
     k = F.col("c_custkey")
     t = table(spark, sf_dir, "customer").select(F.floor(k / 9).alias("doc_id"), k.alias("pos"), F.col("c_name").alias("token"), F.when(k % 9 == 0, "B-PER").when(k % 9 == 1, "I-PER").otherwise("O").alias("tag"))
     return files.bio_spans(t)
+
+
+from veilspark.plans import scoring_catalogue  # noqa: E402, F401  (it registers more queries)
