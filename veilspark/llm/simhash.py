@@ -339,7 +339,7 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int, rows: int, size: in
         yield from flush(True)
 
 
-def block_links(rows: DataFrame, radius: int, chunk: int, percent: int = 80, chunk_bytes: int = 1 << 24) -> DataFrame:
+def block_links(rows: DataFrame, radius: int, chunk: int, percent: int = 80, chunk_bytes: int = 1 << 23) -> DataFrame:
     """Edges (a, b) that connect all nodes which the links within blocks connect, a forest for each block.
 
     ``rows``: block (bigint), node, fp (binary) and perhaps shingles (binary), by the node.  A block of
