@@ -130,7 +130,7 @@ class Packing:
         return sum(n for _, n in self.patterns)
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 1_000, steps: int = 1_000) -> Packing:
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 500, steps: int = 200) -> Packing:
     """Patterns that hold every length as often as ``counts`` says, in as few sequences as are found.
 
     A filling is taken as often as it can be, and after that branch failed once at a time, so
@@ -142,7 +142,7 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 1_000, st
     found = Packing(best_fit_decreasing(left, capacity), -(-total // capacity))
     best, whole, waste = found.sequences, True, 0
     taken: list[tuple[tuple, int, int]] = []
-    seen: dict[frozenset, int] = {}
+    seen: dict[int, int] = {}  # by the hash of what is left
 
     def put(pattern: tuple, n: int) -> None:
         for a, k in pattern:
@@ -187,7 +187,7 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 1_000, st
         taken.append(step)
         if not left:
             found.patterns, best = [(p, k) for p, k, _ in taken], sum(k for _, k, _ in taken)
-        state = frozenset(left.items())
+        state = hash(frozenset(left.items()))
         if left and seen.get(state, waste + 1) > waste:
             seen[state] = waste
             path.append(branches())
@@ -346,7 +346,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity:
             at += len(texts)
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text", nodes: int = 1_000, steps: int = 1_000, batch_chars: int = 1 << 21) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text", nodes: int = 500, steps: int = 200, batch_chars: int = 1 << 21) -> DataFrame:
     """One row a piece: (id, piece, start, length, ids_crc32, sequence_id, offset)."""
     spark = ready(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
