@@ -78,9 +78,21 @@ def _scan(batches: Iterator[pa.RecordBatch], specs: Sequence[tuple[int, Spec]])
         yield pa.RecordBatch.from_arrays([b.column(i).take(take) for i in range(3)] + [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "field_path", "language", *[x.split()[0] for x in CANDIDATES.split(", ")]])
 
 
+def candidates(texts: DataFrame, types: Sequence[str] | None = None, registry: Sequence[Spec] = REGISTRY, partitions: int | None = None) -> DataFrame:
+    """Every match of the patterns, before any validator or list: (doc_id, field_path, language, spec, span_start, span_end, matched, whole, context).
+
+    ``partitions`` deals the texts anew, for small tables whose few files would keep most cores idle.
+    """
+    specs = [(k, s) for k, s in enumerate(registry) if types is None or s.entity_type in types]
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    src = texts.select("doc_id", "field_path", "language", "text")
+    src = src.repartition(partitions) if partitions else src
+    return src.mapInArrow(lambda it: _scan(it, specs), f"doc_id {kind}, field_path string, language string, {CANDIDATES}")
+
+
 def detect(
     texts: DataFrame, types: Sequence[str] | None = SUPPORTED, allow: dict[str, str] | None = None, deny: dict[str, str] = DENY, min_confidence: float = 0.5,
-    engine_id: str = "regex", registry: Sequence[Spec] = REGISTRY,
+    engine_id: str = "regex", registry: Sequence[Spec] = REGISTRY, partitions: int | None = None,
 ) -> DataFrame:
     """Findings of (doc_id, field_path, language, text); all overlapping ones are given.
 
@@ -88,12 +100,7 @@ def detect(
     null language meets the patterns of no language only.
     """
     specs = [(k, s) for k, s in enumerate(registry) if types is None or s.entity_type in types]
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    src = texts.select("doc_id", "field_path", "language", "text")
-    cores = texts.sparkSession.sparkContext.defaultParallelism
-    if not texts.isStreaming and src.rdd.getNumPartitions() < cores:  # a small table's few files would keep most cores idle
-        src = src.repartition(cores)
-    found = src.mapInArrow(lambda it: _scan(it, specs), f"doc_id {kind}, field_path string, language string, {CANDIDATES}")
+    found = candidates(texts, types, registry, partitions)
     # The numbers of patterns are few: their properties come from a table of them.
     keys = texts.sparkSession.createDataFrame(
         [(k, s.entity_type, s.validator, s.context, s.base, *s.tiers, s.deny, s.group == 0) for k, s in specs],

@@ -35,6 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cores(spark: SparkSession) -> int:
+    """For tables of few files whose texts take long."""
+    return spark.sparkContext.defaultParallelism
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
@@ -122,13 +127,13 @@ def findings_per_document(spark, sf_dir):
 @query()
 def detect_all_specs(spark, sf_dir):
     """All 82 patterns with validators, context and deny lists, over all texts."""
-    return D.detect(D.document_texts(table(spark, sf_dir, "documents")), types=None)
+    return D.detect(D.document_texts(table(spark, sf_dir, "documents")), types=None, partitions=cores(spark))
 
 
 @query()
 def context_confidence(spark, sf_dir):
     """Findings of the supported types by type and confidence."""
-    found = D.detect(D.document_texts(table(spark, sf_dir, "documents")))
+    found = D.detect(D.document_texts(table(spark, sf_dir, "documents")), partitions=cores(spark))
     return found.groupBy("entity_type", r6("confidence").alias("confidence")).agg(F.count("*").alias("n"))
 
 
@@ -290,7 +295,7 @@ def flagship_tokenized(spark, sf_dir):
 @query()
 def link_entities(spark, sf_dir):
     """Findings resolved, then linked within their documents."""
-    found = D.detect(D.document_texts(table(spark, sf_dir, "documents")))
+    found = D.detect(D.document_texts(table(spark, sf_dir, "documents")), partitions=cores(spark))
     kept = rewrite.collected(found).select("doc_id", F.explode("spans").alias("x")).select("doc_id", "x.entity_type", F.col("x.s").alias("span_start"), F.col("x.e").alias("span_end"), "x.matched")
     return link.link(kept)
 

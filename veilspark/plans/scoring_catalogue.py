@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.functions.patterns import NOT_NAMES, REGISTRY, Spec
 from veilspark.operators import detect as D
 from veilspark.operators import fusion, keys, matching, resample, routing, segment, siv, utility, vault
-from veilspark.plans.catalogue import FINDINGS, GOLD, PRED, _prf_sql, _rounded, findings, gold_and_predicted, query, r6, spans_sql, table
+from veilspark.plans.catalogue import FINDINGS, GOLD, PRED, _prf_sql, _rounded, cores, findings, gold_and_predicted, query, r6, spans_sql, table
 from veilspark.sources import datasets
 
 # alignment --------------------------------------------------------------------------------
@@ -308,3 +309,50 @@ def attribute_inference(spark, sf_dir):
 def reconstruction_attack(spark, sf_dir):
     known = table(spark, sf_dir, "part").filter("p_partkey % 50 = 0").select(F.split("p_name", " ")[0].alias("token"))
     return utility.reconstruction(table(spark, sf_dir, "documents"), known).withColumn("rate", r6("rate"))
+
+
+# the registry's patterns ------------------------------------------------------------------
+
+#: Letters that SQL's expressions don't take for word characters.
+FOREIGN = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿßÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
+NOT_FIRST = "^(" + NOT_NAMES + ")[ \t]"
+
+
+def _plain(s: Spec) -> tuple[str, int]:
+    """A pattern without look-around, and the group that holds what is found.
+
+    What must stand before or not after a match is taken along, outside the group.
+    """
+    before = {"(?<![:\\w])": "(?:^|[^:\\w])", "(?<!\\w)": "(?:^|\\W)", "(?<![A-Za-z])": "(?:^|[^A-Za-z])", "(?<![0-9.])": "(?:^|[^0-9.])"}
+    after = {"(?![:\\w])": "(?:[^:\\w]|$)", "(?!\\w)": "(?:\\W|$)" if s.entity_type == "USERNAME" else "\\b", "(?![A-Za-z])": "(?:[^A-Za-z]|$)", "(?![0-9.])": "(?:[^0-9.]|$)"}
+    rx, group = s.pattern.replace(f"(?!(?:{NOT_NAMES})[ \\t])", ""), s.group
+    for look, plain in before.items():
+        if rx.startswith(look):
+            end = next(x for x in after if rx.endswith(x))
+            inner = rx[len(look) : -len(end)]
+            rx, group = f"{plain}({inner}){after[end]}", 1
+    return ("(?i)" if s.flags else "") + rx, group
+
+
+def _hits_sql() -> str:
+    parts = []
+    for k, s in enumerate(REGISTRY):
+        rx, group = _plain(s)
+        text = "text" if any(ord(c) > 127 for c in rx) else "t"
+        names = NOT_NAMES in s.pattern
+        if names:  # what stands between two names is taken along by both of them, so it is there twice
+            text = "regexp_replace(t, '([^A-Za-z])', '\\1\\1', 'g')"
+        rx = rx.replace("'", "''")
+        lang = f" and lang = '{s.language}'" if s.language else ""
+        kept = f"not regexp_matches(x, '{NOT_FIRST}')" if names else "x <> ''"
+        shown = r"replace(replace(x, '  ', ' '), '\t\t', '\t')" if names else "x"
+        parts.append(f"select doc_id, {k} as spec, list_transform(list_filter(regexp_extract_all({text}, '{rx}', {group}), lambda x: {kept}), lambda x: {shown}) as m from d where regexp_matches({text}, '{rx}'){lang}")
+    return f"with d as (select doc_id, lang, text, translate(text, '{FOREIGN}', '{'_' * len(FOREIGN)}') as t from documents where text is not null), h as (" + " union all ".join(parts) + ") select doc_id, spec, len(m)::bigint as n, array_to_string(m, '|') as found from h where len(m) > 0"
+
+
+@query(_hits_sql())
+def pattern_hits(spark, sf_dir):
+    """What each of the 82 patterns matches in each text, in order, before validators and lists."""
+    c = D.candidates(D.document_texts(table(spark, sf_dir, "documents")), partitions=cores(spark))
+    g = c.groupBy("doc_id", "spec").agg(F.array_sort(F.collect_list(F.struct("span_start", "matched"))).alias("m"))
+    return g.select("doc_id", "spec", F.size("m").cast("bigint").alias("n"), F.array_join(F.transform("m", lambda x: x["matched"]), "|").alias("found"))
