@@ -165,15 +165,6 @@ def _json(*fields: Column) -> Column:
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
-SQL = r"""
-select conv_id, turn, 0 as seq, role, 'message' as kind, cast(null as varchar) as call_id, cast(null as varchar) as name,
-       'message' as status, cast(null as varchar) as errors, cast(turn as bigint) as anchor_turn, 0 as level,
-       '{"content":' || coalesce(cast(to_json(text) as varchar), 'null') || ',"role":' || coalesce(cast(to_json(role) as varchar), 'null') || '}' as json
-from conversations
-where text is null or (text not like '%<tool_call>%' and text not like '%<tool_response>%' and role is distinct from 'tool')
-"""
-
-
 def formatted(messages: DataFrame) -> DataFrame:
     """link(), with the errors as JSON."""
     return link(messages).withColumn("errors", F.to_json("errors"))

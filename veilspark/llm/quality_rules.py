@@ -155,3 +155,28 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_column: str
 def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     judged, q = judge(docs, rules)
     return judged.select("doc_id", f"{q}.*")
+
+
+def _rules_sql(rules: tuple[Rule, ...]) -> str:
+    tests = [f"{r.metric} {sign} {bound}" for r in rules for sign, bound in ((">=", r.low), ("<=", r.high)) if bound is not None]
+    return " and ".join(tests)
+
+
+SQL = f"""
+with d as (select doc_id, coalesce(text, '') as text, row_number() over () as r from documents),
+w as (select r, doc_id, text, regexp_extract_all(text, '{NOT_SPACES}+') as w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{NOT_SPACES}')) as l from d),
+g as (select r, unnest(range(1, len(w) - 1)) as i, w from w),
+k as (select r, i, count(*) over (partition by r, w[i], w[i + 1], w[i + 2]) as n from g),
+c as (select r, count(distinct i + j)::bigint as n_repeat_words from k, (values (0), (1), (2)) v(j) where n > 1 group by r),
+b as (
+  select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+         (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, len(l) as n_lines,
+         len(list_filter(w, lambda x: x in ({", ".join(f"'{x}'" for x in sorted(set(STOP_WORDS)))}))) as n_stop_words
+  from w left join c using (r)),
+m as (
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, case when n_words > 0 then n_repeat_words / n_words::double else 0 end as repeat_word_ratio,
+         case when n_words > 0 then word_chars / n_words::double else 0 end as mean_word_chars, case when n_words > 0 then n_symbols / n_words::double else 0 end as symbol_word_ratio,
+         case when n_words > 0 then n_stop_words / n_words::double else 0 end as stop_word_ratio, case when n_lines > 0 then n_dup_lines / n_lines::double else 0 end as dup_line_ratio
+  from b)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {_rules_sql(RULES)} as kept from m
+"""

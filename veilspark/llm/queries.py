@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": url_filters.SQL, "op3_chat_format": chat_format.SQL, "op6_line_dedup": line_dedup.SQL}
+    return {"op2_url_filters": url_filters.SQL, "op5_quality_rules": quality_rules.SQL, "op6_line_dedup": line_dedup.SQL}

@@ -127,16 +127,34 @@ def verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) ->
     return judge(pages.select("page_id", "url", "html"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
-SQL = """
-with p as (
-  select page_id,
-         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
-         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
-  from pages),
+#: Rules, and aliases by canonical links and refresh redirects; links are read as page_links() reads them.
+SQL = r"""
+with recursive tags as (select url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) as tag from pages where regexp_matches(html, '(?i)canonical|refresh')),
+raw as (
+  select url, trim(regexp_replace(regexp_extract(tag, '(?is)\bhref\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+)'), '(?is)^href\s*=\s*["'']?|["'']$', '', 'g')) as target
+  from tags where regexp_matches(tag, '(?is)^<link\b[^>]*\brel\s*=\s*["'']?[^"''>]*\bcanonical\b')
+  union all select url, trim(regexp_extract(tag, '(?is)\burl\s*=\s*[''"]?([^"''>\s]+)', 1)) from tags where regexp_matches(tag, '(?is)^<meta\b[^>]*http-equiv\s*=\s*["'']?refresh\b')),
+links as (
+  select distinct url as src, case when contains(t, '://') then t when starts_with(t, '//') then regexp_extract(url, '(?s)^(.*?:)//', 1) || t
+      when starts_with(t, '/') then regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t
+      else regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || coalesce(nullif(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*/)?', 1), ''), '/') || t end as dst
+  from (select url, replace(target, '&amp;', '&') as t from raw) where t <> '' and url is not null),
+u as (select distinct url from pages where url is not null
+  union select distinct dst from links),
+parts as (
+  select url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path, regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) as rest from u),
+named as (select *, case when contains(url, '://') then host || case when rest = '' then '/' when starts_with(rest, '?') then '/' || rest else rest end end as node from parts),
 r(h, q, v) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
-m as (
-  select p.page_id, p.host, p.path, max_by(h || q, length(h || q)) as rule, max_by(v, length(h || q)) as ruled
-  from p left join r on (p.host = r.h or ends_with(p.host, '.' || r.h)) and starts_with(p.path, r.q)
-  group by all)
-select page_id, host, path, rule, coalesce(ruled, 'allow') as verdict from m
+ruled as (
+  select url, host, path, node, max_by(h || q, length(h || q)) as rule, max_by(v, length(h || q)) as ruled
+  from named left join r on (host = r.h or ends_with(host, '.' || r.h)) and starts_with(path, r.q) group by all),
+edges as (select a.node as a, b.node as b from links join named a on a.url = src join named b on b.url = dst where a.node is not null and b.node is not null),
+sides as (select a, b from edges union select b, a from edges),
+reach as (select a as node, a as other from sides union select reach.node, sides.b from reach join sides on sides.a = reach.other),
+alias as (
+  select reach.node, case when bool_or(k.ruled = 'allow') then 'allow' when bool_or(k.ruled = 'block') then 'block' end as verdict
+  from reach left join (select node, ruled from ruled where ruled is not null and url in (select src from links union select dst from links)) k on k.node = reach.other group by 1)
+select page_id, coalesce(host, '') as host, coalesce(path, '') as path, rule, coalesce(ruled, verdict, 'allow') as verdict
+from pages left join ruled using (url) left join alias using (node)
 """
