@@ -487,7 +487,19 @@ def span_prf_pooled(spark, sf_dir):
     return _rounded(metrics.span_scores(*gold_and_predicted(spark, sf_dir), "strict", pooled=True))
 
 
-@query()
+WALK = f"""with recursive {GOLD}, {PRED}, p as (select *, row_number() over (partition by record_id order by start, "end", entity_type) as i from pred where entity_type in (select entity_type from gold)),
+g as (select *, row_number() over (partition by record_id order by start, "end", entity_type) as j from gold),
+o as (select record_id, entity_type, i, j, least(p."end", g."end") - greatest(p.start, g.start) as o, p."end" - p.start + g."end" - g.start as s from p join g using (record_id, entity_type)),
+n as (select *, row_number() over (partition by record_id, entity_type order by o / (s - o)::double desc, i, j) as k from o where o > 0 and o / (s - o)::double >= 0.5),
+m as (select record_id, entity_type, max(k) as last from n group by all),
+w as (select record_id, entity_type, 0::bigint as k, []::bigint[] as pi, []::bigint[] as gj from m
+  union all select w.record_id, w.entity_type, n.k, case when list_contains(pi, n.i) or list_contains(gj, n.j) then pi else list_append(pi, n.i) end, case when list_contains(pi, n.i) or list_contains(gj, n.j) then gj else list_append(gj, n.j) end
+  from w join n on n.record_id = w.record_id and n.entity_type = w.entity_type and n.k = w.k + 1),
+t as (select entity_type, sum(len(pi))::bigint as tp from w join m using (record_id, entity_type) where k = last group by 1),
+c as (select entity_type, coalesce(tp, 0) as tp, coalesce(a.n, 0) as predicted, coalesce(b.n, 0) as gold from (select entity_type, count(*) as n from p group by 1) a full join (select entity_type, count(*) as n from gold group by 1) b using (entity_type) left join t using (entity_type))"""
+
+
+@query(f"{WALK} select entity_type, tp, predicted, gold, {_prf_sql()} from c")
 def iou_greedy_match(spark, sf_dir):
     return _rounded(metrics.overlap_scores(*gold_and_predicted(spark, sf_dir)))
 
@@ -589,9 +601,12 @@ def ece_mce(spark, sf_dir):
     return metrics.calibration(_confidences(spark, sf_dir)).select(r6("ece").alias("ece"), r6("mce").alias("mce"), "n")
 
 
-@query()
+TEMPERED = "1 / (1 + exp(-ln(greatest(1e-7, least(1 - 1e-7, confidence)) / (1 - greatest(1e-7, least(1 - 1e-7, confidence)))) / t))"
+
+
+@query(f"with {CONF}, g as (select round(0.5 + 0.1 * k, 1)::double as t from (select unnest(range(0, 26)) as k)), p as (select t, {TEMPERED} as p, correct from c, g where confidence > 0), b as (select t, least(floor(p * 15), 14) as bin, count(*) as n, abs(avg(p) - avg(correct::int)) as gap from p group by all), e as (select t, sum(n * gap) / sum(n) as ece from b group by t) select round(t, 6) as temperature, round(ece, 6) as ece from e order by ece, t limit 1")
 def optimal_temperature(spark, sf_dir):
-    return metrics.best_temperature(_confidences(spark, sf_dir).filter("confidence > 0"))
+    return metrics.best_temperature(_confidences(spark, sf_dir).filter("confidence > 0")).select(r6("temperature").alias("temperature"), r6("ece").alias("ece"))
 
 
 @query("with n as (select quality as a, toxic as b, count(*)::double as n from labels group by all), t as (select sum(n) as t, sum(case when a = b then n else 0 end) as s from n), x as (select sum(ra.n * rb.n) as x from (select a as v, sum(n) as n from n group by 1) ra join (select b as v, sum(n) as n from n group by 1) rb using (v)) select round((s / t - x / (t * t)) / (1 - x / (t * t)), 6) as kappa from t, x")
@@ -683,7 +698,7 @@ def coverage_monitor_counts(spark, sf_dir):
     return monitor.coverage(table(spark, sf_dir, "events"), "event_type")
 
 
-@query()
+@query("with c as (select conv_id, list(length(text)::double order by turn) as a from conversations where text is not null group by 1) select conv_id, round(list_reduce(a, lambda s, x: 0.05 * x + 0.95 * s), 6) as ewma from c")
 def ewma(spark, sf_dir):
     """Moving average of each conversation's text lengths, in order of the turns."""
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))).alias("a"))
@@ -750,4 +765,4 @@ def bio_spans(spark, sf_dir):
     return files.bio_spans(t)
 
 
-from veilspark.plans import scoring_catalogue  # noqa: E402, F401  (it registers more queries)
+from veilspark.plans import compare_catalogue, scoring_catalogue  # noqa: E402, F401  (it registers more queries)

@@ -334,7 +334,23 @@ def _plain(s: Spec) -> tuple[str, int]:
     return ("(?i)" if s.flags else "") + rx, group
 
 
-def _hits_sql() -> str:
+#: Texts (language, text) that between them hold something for every pattern.
+FIXTURES = (
+    ("en", "Write to mara.holt@example.org or (212) 555-0161 today."), ("en", "SSN 123-45-6789 and 123 45 6789 and 123456789 here."), ("en", "Hosts 10.0.0.30 and fe80:0:0:0:0:0:0:1 answered."),
+    ("en", "Card 4111 1111 1111 1111 and IBAN GB82WEST12345698765432 used."), ("es", "Llame al +34 612 345 678 hoy, Sra. Lopez Vega viene."), ("fr", "Appelez le +33 6 12 34 56 78, Mme Durand Petit arrive."),
+    ("en", "Dr. Ann Vale spoke with Tom R. for long, and Tom R.too."), ("en", "This belongs to Mr. Reed and alias Kestrel; patient Ann Vale waits."), ("en", "Mara's account and Tom R. were closed. [Kestrel] said call me Ishmael."),
+    ("en", "Vincent van Gogh was born: 03/30/1853 it is said."), ("en", "On 2024-03-09 and March 9, 2024 we met."), ("en", "MAC 00:1A:2B:3C:4D:5E was seen."), ("en", "driver's license: D1234567 and DL-A1234-22 checked."),
+    ("en", "passport number: X1234567, routing number: 021000021."), ("en", "license plate: ABC 1234 and tag XYZ-987 noted."), ("en", "card ending in 4242, account number: 12345678."), ("en", "national id: NID-123456789 and handle @kestrel_77 seen, username: mara.holt7"),
+    ("en", "employee id: EMP-1234, also EMP-4321."), ("en", "MRN: AB-123456 on file."), ("en", "Vale Works Inc and Orbit Dynamics Systems met. Employer: Blue Harbor"), ("en", "They live at 12 Long Street and city: Porto Novo there."), ("en", "Addr: 5 Elm Row, Porto Novo CA there."),
+    ("en", "Elm Row, Porto Novo, CA 94000 (near the pier) and near Lisbon too."), ("en", "Send 1BoatSLRHtKNngkdXEeobR76b53LETtpyT or bc1qar0srrr7xfkvy5l643lydnw9re59gtzzwf5mdq or 0x52908400098527886E0F7030069857D2E4169EE7."),
+    ("en", "At 40.7128, -74.0060 the SWIFT code DEUTDEFF500 and VIN 1HGCM82633A004352 are."), ("en", "zip code: 94000-1234, SIN: 046 454 286, UK NI AB 12 34 56 C."), ("en", "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4"),
+    ("en", "api_key = abcdefghijklmnopqrstuvwxyz0123456789 and aadhaar number: 2345 6789 0124."), ("en", "See https://example.org/a?email=x%40example.org now."), ("en", "She is aged 44, a 44-year-old."), ("en", "NPI number: 1234567893 and DEA number: AB1234563."),
+    ("en", "NID123456789 and 912-34-5678 and 912 34 5678 stand here."), ("en", "+1 (212) 555-0161 and +49 30 123-4567 and +44 20 7946 0958 ring."), ("en", "DOB? A: 03/30/1953 and cvv: 123 and pin: 4321 and password: hunter22!"),
+    ("en", "case no. 2:21-cv-01234 and docket: 2021-CV-1234 and state bar: 123456."), ("en", "invoice no. INV-20231 and policy number: POL-123456 and salary: $55,000 per year."),
+)
+
+
+def _hits_sql(source: str = "documents") -> str:
     parts = []
     for k, s in enumerate(REGISTRY):
         rx, group = _plain(s)
@@ -347,12 +363,26 @@ def _hits_sql() -> str:
         kept = f"not regexp_matches(x, '{NOT_FIRST}')" if names else "x <> ''"
         shown = r"replace(replace(x, '  ', ' '), '\t\t', '\t')" if names else "x"
         parts.append(f"select doc_id, {k} as spec, list_transform(list_filter(regexp_extract_all({text}, '{rx}', {group}), lambda x: {kept}), lambda x: {shown}) as m from d where regexp_matches({text}, '{rx}'){lang}")
-    return f"with d as (select doc_id, lang, text, translate(text, '{FOREIGN}', '{'_' * len(FOREIGN)}') as t from documents where text is not null), h as (" + " union all ".join(parts) + ") select doc_id, spec, len(m)::bigint as n, array_to_string(m, '|') as found from h where len(m) > 0"
+    return f"with d as (select doc_id, lang, text, translate(text, '{FOREIGN}', '{'_' * len(FOREIGN)}') as t from {source} where text is not null), h as (" + " union all ".join(parts) + ") select doc_id, spec, len(m)::bigint as n, array_to_string(m, '|') as found from h where len(m) > 0"
 
 
 @query(_hits_sql())
 def pattern_hits(spark, sf_dir):
     """What each of the 82 patterns matches in each text, in order, before validators and lists."""
-    c = D.candidates(D.document_texts(table(spark, sf_dir, "documents")), partitions=cores(spark))
-    g = c.groupBy("doc_id", "spec").agg(F.array_sort(F.collect_list(F.struct("span_start", "matched"))).alias("m"))
+    return hits(D.candidates(D.document_texts(table(spark, sf_dir, "documents")), partitions=cores(spark)))
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+@query(_hits_sql("(select * from (values " + ", ".join(f"({i}, {_quoted(g)}, {_quoted(t)})" for i, (g, t) in enumerate(FIXTURES)) + ") v(doc_id, lang, text))"))
+def pattern_fixtures(spark, sf_dir):
+    """The same for texts that hold something for every pattern."""
+    texts = spark.createDataFrame([(i, "text", g, t) for i, (g, t) in enumerate(FIXTURES)], "doc_id int, field_path string, language string, text string")
+    return hits(D.candidates(texts))
+
+
+def hits(candidates: DataFrame) -> DataFrame:
+    g = candidates.groupBy("doc_id", "spec").agg(F.array_sort(F.collect_list(F.struct("span_start", "matched"))).alias("m"))
     return g.select("doc_id", "spec", F.size("m").cast("bigint").alias("n"), F.array_join(F.transform("m", lambda x: x["matched"]), "|").alias("found"))
