@@ -51,11 +51,19 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/veilspark-{uuid.uuid4().hex}/{name}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it: a lineage cut that survives lost executors."""
+#: Rows of a small work table that one task writes.
+ROWS_A_FILE = 100_000
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it: a lineage cut that survives lost executors.
+
+    ``rows``, where known, is a bound on what the table's last stage handles: a small one is dealt with in
+    as few tasks, and files, as it needs, however many partitions a shuffle has.
+    """
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_A_FILE)))).write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._veilspark_path = path  # for remove()
     return back

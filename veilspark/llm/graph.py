@@ -22,17 +22,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     count for nothing.  ``component`` is the smallest node of the component.
     """
     u, v = F.col(f"`{a}`"), F.col(f"`{b}`")
-    stars = materialize(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter((u != v)).distinct(), "edges")
+    n = edges.count()
+    stars = materialize(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter((u != v)).distinct(), "edges", n)
     last = _sums(stars)
     while last[0]:
         # Large star: a node's larger neighbours move to the smallest of its neighbourhood.
         both = stars.select("u", "v").union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m")), "least")
-        large = materialize(stars.join(least, "v").select("u", F.col("m").alias("v")).filter("u != v").distinct(), "large")
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m")), "least", 2 * n)
+        large = materialize(stars.join(least, "v").select("u", F.col("m").alias("v")).filter("u != v").distinct(), "large", n)
         # Small star: a node and its smaller neighbours move to the smallest of these.
-        least2 = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least2")
+        least2 = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least2", n)
         moved = large.join(least2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
-        new = materialize(moved.union(least2.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        new = materialize(moved.union(least2.select("u", F.col("m").alias("v"))).distinct(), "stars", 2 * n)
         now = _sums(new)
         for old in (stars, least, large, least2):
             remove(old)

@@ -44,18 +44,19 @@ def _row_keys(id_column: str, text_column: str) -> list:
 
 def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     """(h1, h2, first) of the lines on at least ``min_sites`` sites."""
+    n = lines.count()
     spread = materialize(
         lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(12)).alias("sketch"), F.min(F.struct("id", "k1", "at")).alias("first"), F.count("*").alias("n"))
         .filter(F.col("n") >= min_sites)
         .select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites")),
-        "spread",
+        "spread", n,
     )
     slack = max(1.0, BAND * min_sites)
-    near = materialize(spread.filter((F.col("sites") >= min_sites - slack) & (F.col("sites") <= min_sites + slack)).select("h1", "h2"), "near")
+    near = materialize(spread.filter((F.col("sites") >= min_sites - slack) & (F.col("sites") <= min_sites + slack)).select("h1", "h2"), "near", n)
     exact = lines.join(near, ["h1", "h2"], "left_semi").select("h1", "h2", "site").filter("site is not null").distinct().groupBy("h1", "h2").count()
     sure = spread.filter(F.col("sites") > min_sites + slack).select("h1", "h2", "first")
     told = spread.join(exact.filter(F.col("count") >= min_sites).select("h1", "h2"), ["h1", "h2"], "left_semi").select("h1", "h2", "first")
-    return materialize(sure.union(told), "boilerplate")
+    return materialize(sure.union(told), "boilerplate", n)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], at: int, gone: int, count: str) -> Iterator[pa.RecordBatch]:
@@ -83,7 +84,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, id_column: str = "d
     lines = materialize(_lines(docs, id_column, text_column, site_column), "lines")
     known = boilerplate(lines, min_sites)
     hits = lines.join(known, ["h1", "h2"]).filter(F.struct("id", "k1", "at") != F.col("first"))
-    gone = materialize(hits.groupBy("k1", "k2").agg(F.collect_set("at").alias("gone")), "gone")
+    gone = materialize(hits.groupBy("k1", "k2").agg(F.collect_set("at").alias("gone")), "gone", lines.count())
     k1, k2, lost, count = (fresh(docs, s) for s in ("k1", "k2", "gone", "removed"))
     keyed = docs.withColumns(dict(zip((k1, k2), _row_keys(id_column, text_column), strict=True)))
     met = keyed.join(gone.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("gone").alias(lost)), [k1, k2], "left").select(*[f"`{c}`" for c in docs.columns], lost)

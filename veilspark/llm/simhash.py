@@ -339,21 +339,21 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int, rows: int, size: in
         yield from flush(True)
 
 
-def block_links(rows: DataFrame, radius: int, chunk: int, percent: int = 80, chunk_bytes: int = 1 << 23) -> DataFrame:
+def block_links(rows: DataFrame, radius: int, chunk: int, percent: int = 80, chunk_bytes: int = 1 << 23, n_rows: int | None = None) -> DataFrame:
     """Edges (a, b) that connect all nodes which the links within blocks connect, a forest for each block.
 
     ``rows``: block (bigint), node, fp (binary) and perhaps shingles (binary), by the node.  A block of
     more than ``chunk`` nodes, or ``chunk_bytes`` of shingles, is hot: its nodes are dealt by hash to
     chunks that are linked each on their own.  Of what that leaves in different components, the
     nodes outside the block's largest one meet all chunks, in chunks of their own: every pair that
-    may still count is compared, and no task holds more than two chunks.
+    may still count is compared, and no task holds more than two chunks.  ``n_rows``: see materialize().
     """
     has = "shingles" in rows.columns
     payload = ["node", "fp", *(["shingles"] if has else [])]
     kind = rows.schema["node"].dataType.simpleString()
     weight = F.sum(F.length("shingles")) if has else F.lit(0)
     pieces = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("bytes") / chunk_bytes)).cast("int")
-    big = materialize(rows.groupBy("block").agg(F.count("*").alias("n"), weight.alias("bytes")).filter(f"n > {chunk} or (n > 1 and bytes > {chunk_bytes})").select("block", pieces.alias("chunks")), "big")
+    big = materialize(rows.groupBy("block").agg(F.count("*").alias("n"), weight.alias("bytes")).filter(f"n > {chunk} or (n > 1 and bytes > {chunk_bytes})").select("block", pieces.alias("chunks")), "big", n_rows)
     size = F.xxhash64("node")
     dealt = rows.join(big, "block", "left").withColumn("group", F.when(F.col("chunks").isNull(), F.col("block")).otherwise(F.xxhash64("block", F.pmod(size, F.col("chunks")))))
 
@@ -362,14 +362,14 @@ def block_links(rows: DataFrame, radius: int, chunk: int, percent: int = 80, chu
         blocks = frame.select(*cols).repartition("group").sortWithinPartitions("group")
         return blocks.mapInArrow(lambda it: _compare(it, radius, 4 * chunk, 4 * chunk_bytes, percent), f"a {kind}, b {kind}")
 
-    first = materialize(compare(dealt, size), "first")
+    first = materialize(compare(dealt, size), "first", n_rows)
     if big.isEmpty():
         return first
-    parts = materialize(connected_components(first), "parts")
+    parts = materialize(connected_components(first), "parts", n_rows)
     hot = rows.join(big, "block").join(parts, "node", "left").select("block", *payload, "chunks", F.xxhash64(F.coalesce("component", "node")).alias("label"))
-    shares = materialize(hot.groupBy("block", "label").agg(F.count("*").alias("n")), "shares")
+    shares = materialize(hot.groupBy("block", "label").agg(F.count("*").alias("n")), "shares", n_rows)
     main = shares.groupBy("block").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("others"))
-    split = materialize(main.filter("others > 0").join(big, "block").select("block", "main", "chunks", F.least("chunks", F.ceil(F.col("others") / chunk).cast("int")).alias("few")), "split")
+    split = materialize(main.filter("others > 0").join(big, "block").select("block", "main", "chunks", F.least("chunks", F.ceil(F.col("others") / chunk).cast("int")).alias("few")), "split", n_rows)
     met = hot.drop("chunks").join(split, "block")
     # A node of the main component is in chunk c of them; another one, in chunk d of the few, meets all c and all of the few.
     c, d = F.pmod(size, F.col("chunks")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("few")).cast("int")
@@ -388,17 +388,18 @@ def block_links(rows: DataFrame, radius: int, chunk: int, percent: int = 80, chu
 def group_near_duplicates(docs: DataFrame, k: int = 3, radius: int = 2, tables: list[list[int]] | None = None, id_column: str = "doc_id", chunk: int = 1 << 13) -> DataFrame:
     """(id, fingerprint, component_id) of every row; component_id is the smallest id reachable."""
     prints = materialize(fingerprints(docs, k, id_column), "prints")
-    nodes = materialize(prints.groupBy("node").agg(F.min("id").alias("least")), "nodes")
+    n = prints.count()
+    nodes = materialize(prints.groupBy("node").agg(F.min("id").alias("least")), "nodes", n)
     tables = tables or pigeonhole_tables(64, radius, nodes.count())
     rows = materialize(nodes.select("node").mapInArrow(lambda it: _keys(it, tables), "block bigint, node bigint, fp binary"), "rows")
-    found = block_links(rows, radius, chunk)
-    parts = materialize(connected_components(found), "parts")
+    found = block_links(rows, radius, chunk, n_rows=n * len(tables))
+    parts = materialize(connected_components(found), "parts", n)
     some = parts.select("node").union(parts.select("component")).distinct()
     linked = nodes.join(some, "node").join(parts, "node", "left").select("node", "least", F.coalesce("component", "node").alias("part"))
-    linked = materialize(linked, "linked")
+    linked = materialize(linked, "linked", n)
     names = linked.groupBy("part").agg(F.min("least").alias("component_id"))
-    mapped = materialize(linked.join(names, "part").select("node", "component_id"), "mapped")
-    named = materialize(nodes.join(mapped, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "named")
+    mapped = materialize(linked.join(names, "part").select("node", "component_id"), "mapped", n)
+    named = materialize(nodes.join(mapped, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "named", n)
     for t in (rows, found, parts, linked, mapped):
         remove(t)
     return prints.join(named, "node").select("id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
@@ -441,11 +442,13 @@ def similar_groups(docs: DataFrame, k: int, width: int, radius: int, percent: in
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fps, keys], ["id", "node", "fp", "keys"])
 
     prints = materialize(texts.mapInArrow(sketch, f"id {kind}, node binary, fp binary, keys array<bigint>"), "prints")
-    nodes = materialize(prints.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
-    near = block_links(nodes.select(F.explode("keys").alias("block"), "node", "fp"), radius, 1 << 13)
-    parts = materialize(connected_components(near), "parts")
-    members = materialize(parts.select("node", "component").union(parts.select(F.col("component").alias("node"), "component").distinct()), "members")
-    wanted = materialize(nodes.join(members, "node").select("node", F.col("least").alias("id"), "fp", F.xxhash64("component").alias("block")), "wanted")
+    n = prints.count()
+    nodes = materialize(prints.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes", n)
+    near = block_links(nodes.select(F.explode("keys").alias("block"), "node", "fp"), radius, 1 << 13, n_rows=n * tables)
+    parts = materialize(connected_components(near), "parts", n)
+    members = materialize(parts.select("node", "component").union(parts.select(F.col("component").alias("node"), "component").distinct()), "members", n)
+    m = members.count()
+    wanted = materialize(nodes.join(members, "node").select("node", F.col("least").alias("id"), "fp", F.xxhash64("component").alias("block")), "wanted", n)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -456,9 +459,9 @@ def similar_groups(docs: DataFrame, k: int, width: int, radius: int, percent: in
     held = materialize(found.mapInArrow(shingled, "block bigint, node binary, fp binary, shingles binary"), "held")
     repeats = held.groupBy("node").count().filter("count > 1")
     once = held if repeats.isEmpty() else held.dropDuplicates(["node"])
-    links = block_links(once, radius, chunk, percent)
-    groups = materialize(connected_components(links), "groups")
-    out = materialize(groups.select("node", F.col("component").alias("part")).union(groups.select(F.col("component").alias("node"), F.col("component").alias("part")).distinct()), "similar")
+    links = block_links(once, radius, chunk, percent, n_rows=20 * m)  # rows with their shingles are large
+    groups = materialize(connected_components(links), "groups", m)
+    out = materialize(groups.select("node", F.col("component").alias("part")).union(groups.select(F.col("component").alias("node"), F.col("component").alias("part")).distinct()), "similar", m)
     for t in (near, parts, members, wanted, held, links, groups, nodes):
         remove(t)
     return prints.select("id", "node"), out
@@ -480,10 +483,11 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, width: int = 4, radius: in
     some = docs.filter(F.col(f"`{id_column}`").isNotNull())
     rows, parts = similar_groups(some, k, width, radius, percent, tables, minima, id_column, chunk=chunk)
     grouped = rows.join(parts, "node", "left").select("id", "node", F.coalesce("part", "node").alias("part"))
-    counted = materialize(grouped.groupBy("part", "id", "node").agg(F.count("*").alias("n")), "counted")
+    n = rows.count()
+    counted = materialize(grouped.groupBy("part", "id", "node").agg(F.count("*").alias("n")), "counted", n)
     first = counted.groupBy("part").agg(F.min(F.struct("id", "node")).alias("first"), F.count("*").alias("size")).filter("size > 1")
-    gone = materialize(counted.join(first, "part").filter("id != first.id or node != first.node").select("id", "node"), "gone")
-    repeated = materialize(counted.filter("n > 1").join(gone, ["id", "node"], "left_anti").select("id", "node"), "repeated")
+    gone = materialize(counted.join(first, "part").filter("id != first.id or node != first.node").select("id", "node"), "gone", n)
+    repeated = materialize(counted.filter("n > 1").join(gone, ["id", "node"], "left_anti").select("id", "node"), "repeated", n)
     node, one = fresh(docs, "node"), fresh(docs, "one")
     own = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
     named = lambda df: df.select(F.col("id").alias(id_column), F.col("node").alias(node))
