@@ -82,11 +82,26 @@ def overlap_scores(predicted: DataFrame, gold: DataFrame, threshold: float = 0.5
     return c.select("entity_type", "tp", "predicted", "gold", *prf(F.col("tp"), F.col("predicted"), F.col("gold")))
 
 
+def covered(spans: Column) -> Column:
+    """Disjoint ascending intervals (start, end) of the same characters as an array of spans."""
+    none = F.slice(spans, 1, 0)
+    last = lambda a: F.try_element_at(a, F.lit(-1))
+    step = lambda a, x: (
+        F.when((F.size(a) == 0) | (x["start"] > last(a)["end"]), F.concat(a, F.array(x)))
+        .otherwise(F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], x["end"]).alias("end")))))
+    )
+    return F.aggregate(F.array_sort(spans), none, step)
+
+
 def char_scores(predicted: DataFrame, gold: DataFrame) -> DataFrame:
-    """Sets of (record, type, character)."""
-    chars = lambda df: df.select("record_id", "entity_type", F.explode(F.sequence("start", F.col("end") - 1)).alias("at")).distinct()
-    p, g = chars(predicted).withColumn("p", F.lit(1)), chars(gold).withColumn("g", F.lit(1))
-    c = p.join(g, ["record_id", "entity_type", "at"], "full").agg(F.count_if(F.col("p").isNotNull() & F.col("g").isNotNull()).alias("tp"), F.count("p").alias("predicted"), F.count("g").alias("gold"))
+    """Sets of (record, type, character), as intervals: a record's spans of a type are one array, bounded by its text."""
+    span, kind = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")), "array<struct<start:int,end:int>>"
+    of = lambda df, n: df.groupBy("record_id", "entity_type").agg(covered(F.collect_list(span)).alias(n))
+    both = of(predicted, "p").join(of(gold, "g"), ["record_id", "entity_type"], "full")
+    both = both.select(*[F.coalesce(F.col(n), F.array().cast(kind)).alias(n) for n in ("p", "g")])
+    total = lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
+    shared = F.aggregate("p", F.lit(0).cast("bigint"), lambda a, x: a + F.aggregate("g", F.lit(0).cast("bigint"), lambda b, y: b + F.greatest(F.lit(0), F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"]))))
+    c = both.agg(F.coalesce(F.sum(shared), F.lit(0)).alias("tp"), F.coalesce(F.sum(total("p")), F.lit(0)).alias("predicted"), F.coalesce(F.sum(total("g")), F.lit(0)).alias("gold"))
     return c.select("tp", "predicted", "gold", *prf(F.col("tp"), F.col("predicted"), F.col("gold")))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import checks, lexicon
+from veilspark.functions.lexicon import EXPERTS
 from veilspark.operators import detect as D
 from veilspark.operators import fusion, learn, link, metrics, rating, rewrite, segment, transform, vault
 from veilspark.plans import pipeline
@@ -248,21 +249,21 @@ def detokenize_join(spark, sf_dir):
 REDACTED = f"regexp_replace(text, '{D.EMAIL}', '[EMAIL]', 'g')"
 
 
-@query(f"select doc_id, {REDACTED} as text, len(regexp_extract_all(text, '{D.EMAIL}')) as n_findings from documents where text like '%@%'")
+@query(f"select doc_id, {REDACTED} as text, len(regexp_extract_all(text, '{D.EMAIL}')) as n_findings from documents where text is not null")
 def redact_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(F.col("text").contains("@"))
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
     found = D.native(docs, D.EMAIL, "EMAIL_ADDRESS", "@").withColumns({"field_path": F.lit("text"), "confidence": F.lit(0.99)})
     out = rewrite.transform_texts(docs.select("doc_id", F.lit("text").alias("field_path"), "text"), found, lambda t, x, i: F.lit("[EMAIL]"))
     return out.select("doc_id", "text", F.col("n_findings").cast("bigint").alias("n_findings"))
 
 
-@query(f"select doc_id, text from documents where regexp_matches(text, '{D.EMAIL}')")
+@query("select doc_id, text from documents where text is not null")
 def token_round_trip(spark, sf_dir):
     """Texts with emails tokenised, then restored from the vault."""
-    docs = table(spark, sf_dir, "documents").filter(F.col("text").contains("@"))
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
     found = D.native(docs, D.EMAIL, "EMAIL_ADDRESS", "@").withColumns({"field_path": F.lit("text"), "confidence": F.lit(0.99)})
     hidden = rewrite.transform_texts(docs.select("doc_id", F.lit("text").alias("field_path"), "text"), found, lambda t, x, i: transform.token(t, x, KEY, F.lit("default")))
-    return vault.detokenize_texts(hidden.filter("n_findings > 0"), vault.vault(found, KEY)).select("doc_id", "text")
+    return vault.detokenize_texts(hidden, vault.vault(found, KEY)).select("doc_id", "text")
 
 
 @query("select p_type as entity_type, case when p_type in ('ECONOMY', 'STANDARD') then 'redact' when p_type = 'PROMO' then 'tokenize' else 'none' end as strategy, count(*) as n from part group by all")
@@ -377,25 +378,6 @@ def fusion_majority(spark, sf_dir):
     return fusion.majority(findings(spark, sf_dir), 3).select(*KEYS.split(", "), r6("confidence").alias("confidence"))
 
 
-#: experts' strengths by type.
-EXPERTS = [
-    (expert, kind, strength)
-    for expert, table_ in {
-        "regex-oss": {
-            "EMAIL_ADDRESS": 0.99, "US_SSN": 0.99, "CREDIT_CARD": 0.99, "CREDIT_CARD_FRAGMENT": 0.80, "IP_ADDRESS": 0.99, "MAC_ADDRESS": 0.99, "IBAN": 0.99, "PHONE_NUMBER": 0.95, "DATE_OF_BIRTH": 0.92,
-            "DRIVERS_LICENSE": 0.90, "PASSPORT": 0.90, "BANK_ACCOUNT": 0.95, "ROUTING_NUMBER": 0.95, "CRYPTO_WALLET": 0.95, "EMPLOYEE_ID": 0.85, "LICENSE_PLATE": 0.85, "LOCATION": 1.0, "ADDRESS": 0.80,
-            "NATIONAL_ID": 0.85, "MEDICAL_RECORD_NUMBER": 0.85, "PERSON_NAME": 0.30, "ORGANIZATION": 0.25, "USERNAME": 0.60,
-        },
-        "gliner-compatible": {"PERSON_NAME": 0.92, "ORGANIZATION": 0.88, "LOCATION": 0.85, "DATE_OF_BIRTH": 0.80, "PHONE_NUMBER": 0.75, "EMAIL_ADDRESS": 0.70},
-        "presidio-compatible": {"PERSON_NAME": 0.82, "PHONE_NUMBER": 0.78, "EMAIL_ADDRESS": 0.80, "LOCATION": 0.75, "DATE_OF_BIRTH": 0.70, "ORGANIZATION": 0.72},
-        "scrubadub-compatible": {"EMAIL_ADDRESS": 0.75, "PHONE_NUMBER": 0.60, "US_SSN": 0.55},
-        "spacy-ner-compatible": {"PERSON_NAME": 0.78, "ORGANIZATION": 0.72, "LOCATION": 0.75},
-        "stanza-ner-compatible": {"PERSON_NAME": 0.75, "ORGANIZATION": 0.68, "LOCATION": 0.72},
-    }.items()
-    for kind, strength in table_.items()
-]
-
-
 @query(
     "with e(expert_id, entity_type, strength) as (values " + ", ".join(f"('{a}', '{b}', {c}::double)" for a, b, c in EXPERTS) + "), r as (select *, row_number() over (partition by entity_type order by strength desc, expert_id) as n from e qualify n <= 3) select entity_type, expert_id, round(exp(strength) / sum(exp(strength)) over (partition by entity_type), 6) as weight from r"
 )

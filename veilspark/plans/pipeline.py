@@ -40,8 +40,8 @@ def deidentify(texts: DataFrame, profile: Profile = Profile(), engines: Sequence
         fields = texts.select("doc_id", "field_path", F.col("text").alias("_text"))
         cut = F.col("_text").substr(F.col("span_start") + 1, F.col("span_end") - F.col("span_start"))
         found = fused.join(fields, ["doc_id", "field_path"]).withColumn("matched", cut).drop("_text")
-    replacement = transform.apply_policy(profile.rules, profile.key, language=F.lit("en"), otherwise=profile.mode)
-    return rewrite.transform_texts(texts.select("doc_id", "field_path", "text"), found, replacement), found
+    replacement = transform.apply_policy(profile.rules, profile.key, language=F.coalesce(F.col("language"), F.lit("en")), otherwise=profile.mode)
+    return rewrite.transform_texts(texts.select("doc_id", "field_path", "language", "text"), found, replacement), found
 
 
 class Builder:

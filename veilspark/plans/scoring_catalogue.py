@@ -386,3 +386,10 @@ def pattern_fixtures(spark, sf_dir):
 def hits(candidates: DataFrame) -> DataFrame:
     g = candidates.groupBy("doc_id", "spec").agg(F.array_sort(F.collect_list(F.struct("span_start", "matched"))).alias("m"))
     return g.select("doc_id", "spec", F.size("m").cast("bigint").alias("n"), F.array_join(F.transform("m", lambda x: x["matched"]), "|").alias("found"))
+
+
+@query("with r as (select conv_id * 100000 + turn as id, role, text from conversations) select id as doc_id, 'role' as field_path, role as text from r union all select id, 'text', text from r")
+def payload_fields(spark, sf_dir):
+    """Every string field of every message as a text of its own."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), "role", "text")
+    return D.payload_texts(rows, "id").select("doc_id", "field_path", "text")
