@@ -119,7 +119,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redir
     by_node = materialize(
         members.join(materialize(told, "told"), "component", "left").select(F.col("node").alias(node), "component", F.when(F.col("allows") == 1, "allow").when(F.col("allows") == 0, "block").alias("alias")), "by_node"
     )
-    out = base.join(by_node, node, "left")
+    # What has no address can't be linked, and stays out of the join: it would meet under one key.
+    bare = base.filter(F.col(node).isNull()).withColumns({"component": F.lit(None).cast("string"), "alias": F.lit(None).cast("string")})
+    out = base.filter(F.col(node).isNotNull()).join(by_node, node, "left").unionByName(bare)
     return out.withColumn("verdict", F.coalesce("ruled", "alias", F.lit(default))).drop(node, "ruled", "alias")
 
 
