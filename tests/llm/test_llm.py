@@ -409,6 +409,96 @@ def test_lm_scores_are_probabilities(spark):
     assert 0 < 10 ** rows[held[0]] < 1 and sum(10 ** rows[i] for i in held[: len(tests)]) < 1
 
 
+def exact_scores(train, tests, sweeps=250, burn=50, seed=5):
+    """log10 probabilities by the exact sampler: customers seated one at a time, parents of tables included."""
+    rng = np.random.RandomState(seed)
+    pairs = [(u, w) for t in train for u, w in zip(["<"] + t, t + [">"], strict=True)]
+    by_pair, by_word = Counter(pairs), Counter(w for _, w in pairs)
+    d = lm_scoring.discount(np.array(list(by_pair.values())))
+    d0 = lm_scoring.discount(np.array(list(by_word.values())))
+    base = 1 / (len(by_word) + 1)
+    seats, served, n_tables = defaultdict(list), Counter(), Counter()
+    top, top_served, top_tables = defaultdict(list), 0, 0
+
+    def parent(w):
+        return (sum(top[w]) - d0 * len(top[w]) + (1 + d0 * top_tables) * base) / (1 + top_served)
+
+    def probability(u, w):
+        return (sum(seats[u, w]) - d * len(seats[u, w]) + (1 + d * n_tables[u]) * parent(w)) / (1 + served[u])
+
+    def draw(weights):
+        x = rng.rand() * sum(weights)
+        for i, v in enumerate(weights):
+            x -= v
+            if x < 0:
+                return i
+        return len(weights) - 1
+
+    def sit(tables, discount, new):
+        i = draw([s - discount for s in tables] + [new])
+        if i == len(tables):
+            tables.append(1)
+            return True
+        tables[i] += 1
+        return False
+
+    def leave(tables):
+        i = draw(tables)
+        tables[i] -= 1
+        if not tables[i]:
+            del tables[i]
+            return True
+        return False
+
+    def add(u, w):
+        nonlocal top_served, top_tables
+        if sit(seats[u, w], d, (1 + d * n_tables[u]) * parent(w)):
+            n_tables[u] += 1
+            top_tables += sit(top[w], d0, (1 + d0 * top_tables) * base)
+            top_served += 1
+        served[u] += 1
+
+    def remove(u, w):
+        nonlocal top_served, top_tables
+        if leave(seats[u, w]):
+            n_tables[u] -= 1
+            top_tables -= leave(top[w])
+            top_served -= 1
+        served[u] -= 1
+
+    for u, w in pairs:
+        add(u, w)
+    total = [np.zeros(len(t) + 1) for t in tests]
+    for k in range(sweeps):
+        for u, w in pairs:
+            remove(u, w)
+            add(u, w)
+        if k >= burn:
+            for x, t in zip(total, tests, strict=True):
+                x += [probability(u, w) for u, w in zip(["<"] + t, t + [">"], strict=True)]
+    return [float(np.log10(x / (sweeps - burn)).sum()) for x in total]
+
+
+@pytest.mark.parametrize("bucket_pairs", [10**6, 250])
+def test_lm_scores_are_near_those_of_the_exact_sampler(spark, bucket_pairs):
+    """In one bucket, and in several, whose parents are seated apart while they sample."""
+    rng = np.random.RandomState(8)
+    words = [f"w{k}" for k in range(15)]
+    follow = {w: rng.dirichlet(np.full(15, 0.3)) for w in words}
+    texts = []
+    for _ in range(90):
+        t = [words[rng.randint(15)]]
+        while len(t) < rng.randint(3, 14):
+            t.append(str(rng.choice(words, p=follow[t[-1]])))
+        texts.append(t)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    train = [t for i, t in enumerate(texts) if not lm_scoring.held_out(i)]
+    want = np.array(exact_scores(train, texts))
+    got = {r.id: r.score for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), sweeps=80, burn=20, bucket_pairs=bucket_pairs).collect()}
+    mine = np.array([got[i] for i in range(len(texts))])
+    assert abs(mine.sum() / want.sum() - 1) < 0.02 and np.abs(mine / want - 1).max() < 0.12 and np.corrcoef(mine, want)[0, 1] > 0.995
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark):
     df = lm_scoring.score(queries.table(spark, "/root/testdata/sf0.001", "documents"))
     r = {x.held_out: x for x in lm_scoring.perplexity(df).collect()}

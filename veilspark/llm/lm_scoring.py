@@ -405,6 +405,10 @@ def score(
 
     ``strengths``: of context restaurants and of their parent; discounts are estimated from
     counts of one and two.  ``sweeps``: Gibbs sweeps, of which the first ``burn`` don't count.
+
+    What comes to the driver: sums of each shard, and the words with over a quarter of a bucket's
+    share of the tokens, at most four for each bucket; so it grows with the corpus, at some
+    100 bytes for each ``bucket_pairs`` tokens.
     """
     spark = ready(docs.sparkSession)
     field = docs.schema[id_column]
