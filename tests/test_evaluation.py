@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.operators import keys, learn, matching, resample, routing, segment, siv, utility
+from veilspark.operators import fusion, keys, learn, matching, metrics, resample, routing, segment, siv, utility
 from veilspark.sources import datasets
 
 SPAN = "record_id string, entity_type string, start int, end int"
@@ -172,3 +172,49 @@ def test_flipped_labels_and_utility(spark):
     one = spark.createDataFrame([("Good day. Bad luck!", "Good day.")], "a string, b string")
     r = one.select(utility.task_utility(F.col("a"), F.col("b")).alias("t"), F.size(utility.sentences(F.col("a"))).alias("n"), utility.without_spans(F.col("a"), F.expr("array(named_struct('start', 0, 'end', 5), named_struct('start', 9, 'end', 19))")).alias("w")).first()
     assert r.n == 2 and r.w == "day." and 0 < r.t < 1
+
+
+def fused_by_hand(items, iou=0.5, gap=5):
+    """Clusters of (start, end, ordinal, confidence, engine) and what a vote makes of each."""
+    rest, out = sorted(items), []
+    while rest:
+        (s, e, *_), mine, left, past = rest[0], [rest[0]], [], False
+        for x in rest[1:]:
+            past = past or x[0] >= e + gap
+            hull = max(e, x[1]) - min(s, x[0])
+            if not past and hull > 0 and max(0, min(e, x[1]) - max(s, x[0])) / hull >= iou:
+                s, e = min(s, x[0]), max(e, x[1])
+                mine.append(x)
+            else:
+                left.append(x)
+        vote = lambda values: max(dict.fromkeys(values), key=values.count)
+        out.append((vote([x[0] for x in mine]), vote([x[1] for x in mine]), round(sum(x[3] for x in mine) / len(mine), 6), tuple(sorted({x[4] for x in mine}))))
+        rest = left
+    return sorted(out)
+
+
+def test_fusion_of_overlapping_spans(spark):
+    rng = np.random.RandomState(4)
+    rows = []
+    for i in range(160):
+        a = int(rng.randint(0, 60))
+        rows.append((f"d{i % 4}", "text", "AB"[i % 2], "en", a, a + int(rng.randint(2, 12)), float(rng.randint(3, 10)) / 10, f"e{rng.randint(4)}", i))
+    df = spark.createDataFrame(rows, "doc_id string, field_path string, entity_type string, language string, span_start int, span_end int, confidence double, engine_id string, ordinal int")
+    groups = {}
+    for d, _, t, _, a, z, c, e, o in rows:
+        groups.setdefault((d, t), []).append((a, z, o, c, e))
+    want = sorted((k, *x) for k, v in groups.items() for x in fused_by_hand(v))
+    got = lambda f: sorted(((r.doc_id, r.entity_type), r.span_start, r.span_end, round(r.confidence, 6), tuple(r.engines)) for r in f.collect())
+    assert got(fusion.weighted(df)) == want and len(want) < 150
+    assert got(fusion.majority(df, 2)) == [x for x in want if len(x[4]) >= 2]
+
+
+def test_characters_as_intervals(spark):
+    rng = np.random.RandomState(6)
+    make = lambda: [(f"r{rng.randint(4)}", "AB"[rng.randint(2)], int(a), int(a + rng.randint(0, 7))) for a in rng.randint(0, 25, 50)]
+    p, g = make(), make()
+    chars = lambda rows: {(r, t, x) for r, t, a, z in rows for x in range(a, z)}
+    r = metrics.char_scores(spark.createDataFrame(p, SPAN), spark.createDataFrame(g, SPAN)).first()
+    assert (r.tp, r.predicted, r.gold) == (len(chars(p) & chars(g)), len(chars(p)), len(chars(g)))
+    none = spark.createDataFrame([], SPAN)
+    assert metrics.char_scores(none, none).first().f1 == 0.0
