@@ -314,3 +314,28 @@ def sample_size(population: int, z: float = 1.959963984540054, margin: float = 0
 
 def detectable_effect(n: int, spread: float, z_alpha: float = 1.959963984540054, z_power: float = 0.8416212335729143) -> float:
     return (z_alpha + z_power) * spread * (2 / n) ** 0.5
+
+
+# what a dataset holds ---------------------------------------------------------------------
+
+
+def coverage(df: DataFrame, keys: Sequence[str], least: int = 10) -> DataFrame:
+    """(keys…, n, gap): how many rows each combination has, and whether they are too few."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("gap", F.col("n") < least)
+
+
+def length_statistics(df: DataFrame, by: str, length: str, distinct: str) -> DataFrame:
+    """Number, mean, median and range of a length for each group, and its distinct values of another column."""
+    return df.groupBy(by).agg(
+        F.count("*").alias("docs"), F.avg(length).alias("mean"), F.percentile(length, F.lit(0.5)).alias("median"), F.min(length).alias("least"), F.max(length).alias("most"), F.count_distinct(distinct).alias("sources")
+    )
+
+
+def head_to_head(scores: DataFrame, by: str, system: str, score: str) -> DataFrame:
+    """The best and the worst system of each group by a score."""
+    return scores.groupBy(by).agg(F.max_by(system, score).alias("best"), F.max(score).alias("score"), F.min_by(system, score).alias("worst"))
+
+
+def record_rows(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(record_id, text, chars) of any table with an id and a text."""
+    return df.select(F.col(f"`{id_column}`").alias("record_id"), F.col(f"`{text_column}`").alias("text"), F.length(f"`{text_column}`").cast("bigint").alias("chars"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.lexicon import ALIASES, CITIES, HONORIFICS, NAMES, POLICIES, STREETS
@@ -329,6 +329,22 @@ def merged(first: dict[str, str], second: dict[str, str]) -> dict[str, str]:
     return first | second
 
 
+def strategy_of(entity_type: Column, rules: dict[str, str], otherwise: str = "none") -> Column:
+    """The strategy that a policy's rules name for a type: its rules are part of the plan, and nothing is joined."""
+    out = F.lit(otherwise)
+    for strategy in sorted(set(rules.values())):
+        out = F.when(entity_type.isin(*[k for k, v in rules.items() if v == strategy]), strategy).otherwise(out)
+    return out
+
+
+def indexed(values: DataFrame, scope: str, value: str, entity_type: Column) -> DataFrame:
+    """Distinct (scope, value) rows with a dense number in their scope and the placeholder of it."""
+    from pyspark.sql import Window
+
+    rows = values.select(scope, value).distinct().withColumn("idx", F.dense_rank().over(Window.partitionBy(scope).orderBy(value)).cast("bigint"))
+    return rows.withColumn("placeholder", placeholder(entity_type, F.col("idx")))
+
+
 def apply_policy(rules: dict[str, str], key: str = "default", scope: Column | None = None, language: Column | None = None, otherwise: str = "none"):
     """A replacement function for ``transform_texts`` that follows the rules."""
     scope, language = scope if scope is not None else F.lit("default"), language if language is not None else F.lit("en")

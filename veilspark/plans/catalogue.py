@@ -228,9 +228,9 @@ def synthetic_and_perturbed(spark, sf_dir):
     o = o.select("*", F.explode(F.array(seeds)).alias("seed"))  # explode() keeps the hashes from being copied
     a, b, day = F.col("seed.a"), F.col("seed.b"), F.col("day")
     return o.select(
-        "o_orderkey", transform.synthetic_date(day, a).alias("date"), transform.synthetic_card(a).alias("card"), transform._digit_walk(F.lit("+1 (212) 555-0147"), b).alias("phone"),
-        transform.synthetic_address(day, F.lit("fr"), a).alias("address"), transform.synthetic_zip(F.lit("12345-6789"), a).alias("zip"), transform.synthetic_email(F.lit("a.b@c.de"), F.lit("es"), a).alias("email"),
-        transform.perturb_salary(F.col("price"), b).alias("salary"), transform.perturb_age(F.lit("42"), b).alias("age"), transform.perturb_date(day, b).alias("shifted"), transform.perturb_coordinates(F.lit("40.7128,-74.0060"), b).alias("place"),
+        "o_orderkey", transform.synthetic_date(day, a).alias("date"), transform.synthetic_card(a).alias("card"), transform._digit_walk(F.format_string("+1 (212) 555-%04d", F.col("o_orderkey") % 10000), b).alias("phone"),
+        transform.synthetic_address(day, F.lit("fr"), a).alias("address"), transform.synthetic_zip(F.format_string("%05d-6789", F.col("o_orderkey") % 100000), a).alias("zip"), transform.synthetic_email(F.format_string("a.b%d@c.de", "o_orderkey"), F.lit("es"), a).alias("email"),
+        transform.perturb_salary(F.col("price"), b).alias("salary"), transform.perturb_age((F.col("o_orderkey") % 80 + 10).cast("string"), b).alias("age"), transform.perturb_date(day, b).alias("shifted"), transform.perturb_coordinates(F.format_string("%.4f,-74.0060", F.col("o_orderkey") % 90 / 1.0), b).alias("place"),
     )
 
 
@@ -268,9 +268,9 @@ def token_round_trip(spark, sf_dir):
 
 @query("select p_type as entity_type, case when p_type in ('ECONOMY', 'STANDARD') then 'redact' when p_type = 'PROMO' then 'tokenize' else 'none' end as strategy, count(*) as n from part group by all")
 def policy_rule_join(spark, sf_dir):
-    rules = spark.createDataFrame([("ECONOMY", "redact"), ("STANDARD", "redact"), ("PROMO", "tokenize")], "p_type string, strategy string")
-    joined = table(spark, sf_dir, "part").join(F.broadcast(rules), "p_type", "left")  # a policy's rules, tens of rows
-    return joined.groupBy(F.col("p_type").alias("entity_type"), F.coalesce("strategy", F.lit("none")).alias("strategy")).agg(F.count("*").alias("n"))
+    kind = F.col("p_type")
+    rules = {"ECONOMY": "redact", "STANDARD": "redact", "PROMO": "tokenize"}
+    return table(spark, sf_dir, "part").groupBy(kind.alias("entity_type"), transform.strategy_of(kind, rules).alias("strategy")).agg(F.count("*").alias("n"))
 
 
 @query()
@@ -303,11 +303,7 @@ def link_entities(spark, sf_dir):
 
 @query("with f as (select distinct c_nationkey, c_mktsegment from customer) select c_nationkey, c_mktsegment, dense_rank() over (partition by c_nationkey order by c_mktsegment) as idx, '<SEG:anon_' || dense_rank() over (partition by c_nationkey order by c_mktsegment) || '>' as placeholder from f")
 def placeholder_dense_index(spark, sf_dir):
-    from pyspark.sql import Window
-
-    f = table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment").distinct()
-    f = f.withColumn("idx", F.dense_rank().over(Window.partitionBy("c_nationkey").orderBy("c_mktsegment")).cast("bigint"))
-    return f.withColumn("placeholder", transform.placeholder(F.lit("SEG"), F.col("idx")))
+    return transform.indexed(table(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment", F.lit("SEG"))
 
 
 # segmentation -----------------------------------------------------------------------------
@@ -650,7 +646,7 @@ def compliance_gap(spark, sf_dir):
 
 @query("with n as (select source, lang, count(*) as n from documents group by all) select source, lang, n, n < 10 as gap from n")
 def coverage_gaps(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n")).withColumn("gap", F.col("n") < 10)
+    return metrics.coverage(table(spark, sf_dir, "documents"), ["source", "lang"])
 
 
 @query("with c as (select c_mktsegment, greatest(1, floor(count(*) * 100 / (select count(*) from customer)::double)) as share from customer group by 1), r as (select c_custkey, c_mktsegment, row_number() over (partition by c_mktsegment order by md5(c_custkey || ':42'), c_custkey) as n from customer) select c_custkey, c_mktsegment from r join c using (c_mktsegment) where n <= share")
@@ -660,8 +656,7 @@ def stratified_sample_hash(spark, sf_dir):
 
 @query("select lang, count(*) as docs, round(avg(n_chars), 6) as mean, median(n_chars) as median, min(n_chars) as least, max(n_chars) as most, count(distinct source) as sources from documents group by lang")
 def dataset_stats_median(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").groupBy("lang")
-    return d.agg(F.count("*").alias("docs"), r6(F.avg("n_chars")).alias("mean"), F.percentile("n_chars", F.lit(0.5)).alias("median"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.count_distinct("source").alias("sources"))
+    return metrics.length_statistics(table(spark, sf_dir, "documents"), "lang", "n_chars", "source").withColumn("mean", r6("mean"))
 
 
 @query("select event_id, round(avg(value) over (partition by event_type order by event_id rows 9 preceding), 8) as mean_10, round(avg(value) over (partition by event_type order by event_id rows 99 preceding), 8) as mean_100 from events")
@@ -721,7 +716,7 @@ def error_taxonomy(spark, sf_dir):
 @query("with s as (select c_nationkey, c_mktsegment, avg(c_acctbal) as v from customer group by all) select c_mktsegment, max_by(c_nationkey, v) as best, round(max(v), 4) as score, min_by(c_nationkey, v) as worst from s group by 1")
 def head_to_head_max_by(spark, sf_dir):
     s = table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.avg("c_acctbal").alias("v"))
-    return s.groupBy("c_mktsegment").agg(F.max_by("c_nationkey", "v").alias("best"), F.round(F.max("v"), 4).alias("score"), F.min_by("c_nationkey", "v").alias("worst"))
+    return metrics.head_to_head(s, "c_mktsegment", "c_nationkey", "v").withColumn("score", F.round("score", 4))
 
 
 @query("with m as (select c_mktsegment as surface, c_nationkey % 2 as entity_type from customer), p as (select surface, count(distinct entity_type) as k from m group by 1) select count(*) as surfaces, count(*) filter (k = 1) as consistent, round(count(*) filter (k = 1) / count(*)::double, 6) as score from p")
@@ -737,7 +732,7 @@ def html_text_nodes(spark, sf_dir):
 
 @query("select n_nationkey as record_id, n_name as text, length(n_name) as chars from nation")
 def record_projection(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("record_id"), F.col("n_name").alias("text"), F.length("n_name").cast("bigint").alias("chars"))
+    return metrics.record_rows(table(spark, sf_dir, "nation"), "n_nationkey", "n_name")
 
 
 @query("with b as (select c_custkey as doc_id, case when c_custkey % 9 = 0 then 'B-PER' when c_custkey % 9 = 1 then 'I-PER' else 'O' end as tag, c_name as token, c_custkey // 9 as g from customer), p as (select *, sum(length(token) + 1) over (partition by g order by doc_id) - length(token) - 1 as s from b) select g as doc_id, 'PER' as entity_type, min(s)::bigint as start, max(s + length(token))::bigint as \"end\" from p where tag <> 'O' group by g")
