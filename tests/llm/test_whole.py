@@ -6,10 +6,9 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
-from veilspark.llm import bpe_trie, chat_format, media_columns, packing, quality_rules, queries, sharding, simhash, url_filters
+from veilspark.llm import chat_format, quality_rules, queries, simhash, url_filters
 
 SPLIT = re.compile("[^\x20\x09-\x0d]+")
 
@@ -120,27 +119,6 @@ def test_json_is_canonical_at_every_depth(spark):
     assert row.errors == ["language: not string", "z: not known"]
 
 
-@pytest.fixture(scope="module")
-def odd(spark):
-    """A table whose columns bear the names that the operators use inside."""
-    rows = [(i, t, "en", f"s{i % 3}", 1) for i, t in enumerate([None, "", "one two three", "the of and " * 30, "x" * 300_000, " ".join(f"w{i}" for i in range(60_000)), "one two three"])]
-    base = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(2)
-    names = "id node fp block keys key digest shard offset length size text_crc32 row d0 part piece start task rank fingerprint component_id _removed _one _node at bits site h1 label held_out"
-    return base, base.withColumns({n: F.lit("z") for n in names.split()})
-
-
-def test_clashing_names_and_very_long_texts(spark, odd, tmp_path):
-    plain, clashing = odd
-    path = queries.tokenizer_path
-    runs = {
-        "op1": lambda d: packing.pack(d, path("word_bpe_49k.json")).select("id", "piece", "length", "ids_crc32"), "op4": simhash.group_near_duplicates, "op9": lambda d: sharding.shard_report(d).select("doc_id", "size", "text_crc32"),
-        "op10": lambda d: bpe_trie.digests(d, path("byte_bpe_50k.json")), "op8": lambda d: media_columns.media_report(d).select("doc_id", "n_bytes", "media_sha256", "feature"),
-        "near": lambda d: simhash.drop_near_duplicates(d).select("doc_id", "text"), "good": lambda d: quality_rules.keep_good(d).select("doc_id"),
-    }
-    for name, run in runs.items():
-        assert sorted(map(str, run(plain).collect())) == sorted(map(str, run(clashing).collect())), name
-
-
 def brute_pipeline(docs):
     """(doc_id, text) that the stages before packing keep."""
     kept = []

@@ -187,8 +187,11 @@ def store(docs: DataFrame, folder: str | None = None, id_column: str = "doc_id",
     return rows, first.filter("text is null").drop("text").union(second.drop("text"))
 
 
-def _read(places: DataFrame, schema: str, make) -> DataFrame:
-    """mapInArrow over distinct places in order of shard and offset; make(file, digest, offset, length) gives a row."""
+def _read(places: DataFrame, schema: str, make, along: tuple[str, ...] = ()) -> DataFrame:
+    """mapInArrow over distinct places in order of shard and offset; make(file, digest, offset, length) gives a row.
+
+    ``along``: columns of the places that go along.
+    """
     ordered = places.select("digest", "shard", "offset", "length").repartitionByRange(F.col("shard"), F.col("offset")).sortWithinPartitions("shard", "offset")
     fields = [x.split() for x in schema.split(", ")]
     kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
@@ -207,11 +210,11 @@ def _read(places: DataFrame, schema: str, make) -> DataFrame:
                     name, file = shard, system.open_input_file(path)
                 rows.append(make(file, digest, offset, length))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], *[b.column(c) for c in along]], [*[n for n, _ in fields], *along])
         if file is not None:
             file.close()
 
-    return ordered.mapInArrow(run, schema)
+    return ordered.mapInArrow(run, ", ".join([schema, *[f"{c} {places.schema[c].dataType.simpleString()}" for c in along]]))
 
 
 def read_headers(places: DataFrame) -> DataFrame:
@@ -225,19 +228,19 @@ def read_headers(places: DataFrame) -> DataFrame:
 
 
 def read_payloads(places: DataFrame) -> DataFrame:
-    """What each digest's stored bytes give when they are read back."""
+    """What each digest's header alone and then its stored bytes give when they are read back, beside its place."""
 
     def make(file, digest, offset, length):
+        head = png_header(file.read_at(HEADER, offset))
         raw = file.read_at(length, offset)
-        head = png_header(raw[:HEADER])
         payload = from_png(raw)
         sha = hashlib.sha256(payload).hexdigest()
         if sha != digest:
             raise ValueError(f"payload {digest} is damaged")
-        return digest, len(payload), sha, zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(payload, head)
+        return digest, len(payload), sha, zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(payload, head), offset, length, head["width"], head["height"], head["depth"], head["colour"]
 
-    schema = "digest string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return _read(places, schema, make)
+    schema = "digest string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, offset bigint, length bigint, width int, height int, depth int, colour int"
+    return _read(places, schema, make, ("shard",))
 
 
 def described(docs: DataFrame, folder: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -254,7 +257,7 @@ def media_columns(docs: DataFrame, folder: str | None = None, id_column: str = "
 
 def media_report(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """The media columns and what the payloads give when they are read back."""
-    rows, heads = described(docs, folder)
-    found = materialize(heads.join(read_payloads(heads), "digest"), "features")
+    rows, places = store(docs, folder)
+    found = materialize(read_payloads(places), "features")
     columns = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length", "width", "height", "depth", "colour"]
     return rows.join(found, "digest").select(F.col("id").alias("doc_id"), *columns)
