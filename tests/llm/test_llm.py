@@ -543,6 +543,21 @@ def test_media_report_is_what_the_files_hold(spark, docs, tmp_path):
         assert r.feature.startswith(f"png 64x{n // 64}x8 distinct={len(by)} mean={sum(payload) / n:.6f} ") and abs(float(r.feature.rpartition("=")[2]) - entropy) < 2e-6
 
 
+def test_media_report_keeps_little_beside_its_texts(spark, tmp_path):
+    """Work tables hold digests as bytes, each once (166 bytes a row here; in hexadecimal, one of them twice, 356); payloads are well compressed."""
+    from veilspark.llm.common import shared_dir
+
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.sha2(F.concat("id", F.lit(f" {k}")), 256).substr(1, k) for k in (5, 9, 3, 7) * 4]).alias("text")).repartition(2)
+    work = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(work.glob("veilspark-*/*"))
+    found = media_columns.media_report(docs, f"file://{tmp_path}/shards")
+    tables = [f for folder in set(work.glob("veilspark-*/*")) - before for f in folder.rglob("*.parquet")]
+    assert found.count() == 20_000
+    assert sum(f.stat().st_size for f in tables) < 250 * 20_000
+    payload = media_columns.padded(" ".join(r.text for r in docs.limit(50).collect()))[1]
+    assert len(media_columns.to_png(payload)) <= len(media_columns.to_png(payload, 5)) < len(media_columns.to_png(payload, 1))
+
+
 def test_a_digest_is_stored_once_though_bits_collide(spark, docs, tmp_path):
     many = docs.unionByName(docs).repartition(5)
     for bits in (8, 1 << 20):

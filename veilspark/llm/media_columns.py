@@ -10,6 +10,9 @@ than one row are marked in a bitmap of fixed size.  A payload whose bit isn't se
 the task that reads it; of the others each task hands on one text a digest, and these few
 are shuffled by digest and stored.  A bit that digests share only sends a text the long way.
 
+Work tables and shuffles hold digests as their 32 bytes, and a payload's digest as read back once;
+what callers get is lower-case hexadecimal.
+
 A shard's name holds a random part, so an attempt that is run again never writes into
 the file of another; rows and shards are both written before anything reads them.
 
@@ -50,7 +53,7 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def to_png(payload: bytes, level: int = 1) -> bytes:
+def to_png(payload: bytes, level: int = 6) -> bytes:
     """A grey PNG whose samples are the payload's bytes, row by row."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
     lines = np.zeros((len(rows), WIDTH + 1), np.uint8)  # each line begins with its filter, none
@@ -123,22 +126,31 @@ class _Shards:
             self.out = None
 
 
-def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_bytes, digest) of every row, without Python."""
+def _hex(df: DataFrame) -> DataFrame:
+    return df.withColumn("digest", F.lower(F.hex("digest")))
+
+
+def _digests(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, n_bytes, digest) of every row, without Python; the digest as bytes."""
     raw = F.coalesce(F.col(f"`{text_column}`").cast("binary"), F.lit(b""))
     n = F.octet_length(raw)
     zeros = F.when(n == 0, WIDTH).otherwise(F.pmod(-n, F.lit(WIDTH))).cast("int")
     payload = F.concat(raw, F.substring(F.lit(b"\0" * WIDTH), F.lit(1), zeros))
-    return docs.select(F.col(f"`{id_column}`").alias("id"), n.cast("bigint").alias("n_bytes"), F.sha2(payload, 256).alias("digest"))
+    return docs.select(F.col(f"`{id_column}`").alias("id"), n.cast("bigint").alias("n_bytes"), F.unhex(F.sha2(payload, 256)).alias("digest"))
+
+
+def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, n_bytes, digest) of every row, without Python."""
+    return _hex(_digests(docs, id_column, text_column))
 
 
-def _bit(digest: str, bits: int) -> int:
-    return int(digest[:15], 16) % bits
+def _bit(digest: bytes, bits: int) -> int:
+    return (int.from_bytes(digest[:8], "big") >> 4) % bits
 
 
 def repeated_bits(rows: DataFrame, bits: int = BITS) -> bytes:
-    """A bitmap with the bits of the digests on more than one row: ``bits`` bits come to the driver, whatever the input."""
-    spot = F.pmod(F.conv(F.substring("digest", 1, 15), 16, 10).cast("bigint"), F.lit(bits))
+    """A bitmap with the bits of the digests (bytes) on more than one row: ``bits`` bits come to the driver, whatever the input."""
+    spot = F.pmod(F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("bigint"), F.lit(bits))
     many = rows.groupBy("digest").count().filter("count > 1").select((spot + 1).alias("spot"))  # Spark's bitmaps begin at 1
     parts = many.groupBy(F.bitmap_bucket_number(F.col("spot")).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("spot"))).alias("marks"))
     out = np.zeros(bits, bool)
@@ -149,14 +161,14 @@ def repeated_bits(rows: DataFrame, bits: int = BITS) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
-def store(docs: DataFrame, folder: str | None = None, id_column: str = "doc_id", text_column: str = "text", shard_bytes: int = 1 << 28, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
-    """Write the payloads; (id, n_bytes, digest) of every row and (digest, shard, offset, length) of every digest."""
+def _stored(docs: DataFrame, folder: str | None = None, id_column: str = "doc_id", text_column: str = "text", shard_bytes: int = 1 << 28, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """store(), with digests as bytes."""
     spark = ready(docs.sparkSession)
     folder = folder or work_path(spark, "shards")
-    rows = materialize(digests(docs, id_column, text_column), "rows")
+    rows = materialize(_digests(docs, id_column, text_column), "rows")
     held = spark.sparkContext.broadcast(repeated_bits(rows, bits))
     names = ["digest", "shard", "offset", "length", "text"]
-    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    types = [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch], direct: bool) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -168,25 +180,31 @@ def store(docs: DataFrame, folder: str | None = None, id_column: str = "doc_id",
             for t in b.column(b.num_columns - 1):
                 text = t.as_py()
                 payload = padded(text)[1]
-                digest = hashlib.sha256(payload).hexdigest()
+                digest = hashlib.sha256(payload).digest()
                 if direct and marks[(n := _bit(digest, bits)) >> 3] >> (n & 7) & 1:
                     if digest not in seen:
                         seen.add(digest)
                         out.append((digest, None, None, None, text or ""))
                 elif direct or digest != before:  # the second time, equal digests come one after the other
-                    out.append((digest, *shards.add(digest + ".png", to_png(payload)), None))
+                    out.append((digest, *shards.add(digest.hex() + ".png", to_png(payload)), None))
                 before = digest
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
         shards.close()
 
-    schema = "digest string, shard string, offset bigint, length bigint, text string"
+    schema = "digest binary, shard string, offset bigint, length bigint, text string"
     first = materialize(docs.select(F.col(f"`{text_column}`").alias("text")).mapInArrow(lambda it: run(it, True), schema), "first")
     later = first.filter("text is not null").select("digest", "text").repartition("digest").sortWithinPartitions("digest")
     second = materialize(later.mapInArrow(lambda it: run(it, False), schema), "second")
     return rows, first.filter("text is null").drop("text").union(second.drop("text"))
 
 
+def store(docs: DataFrame, folder: str | None = None, id_column: str = "doc_id", text_column: str = "text", shard_bytes: int = 1 << 28, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """Write the payloads; (id, n_bytes, digest) of every row and (digest, shard, offset, length) of every digest."""
+    rows, places = _stored(docs, folder, id_column, text_column, shard_bytes, bits)
+    return _hex(rows), _hex(places)
+
+
 def _read(places: DataFrame, schema: str, make, along: tuple[str, ...] = ()) -> DataFrame:
     """mapInArrow over distinct places in order of shard and offset; make(file, digest, offset, length) gives a row.
 
@@ -194,7 +212,7 @@ def _read(places: DataFrame, schema: str, make, along: tuple[str, ...] = ()) ->
     """
     ordered = places.select("digest", "shard", "offset", "length").repartitionByRange(F.col("shard"), F.col("offset")).sortWithinPartitions("shard", "offset")
     fields = [x.split() for x in schema.split(", ")]
-    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
+    kinds = {"binary": pa.binary(), "string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -227,22 +245,32 @@ def read_headers(places: DataFrame) -> DataFrame:
     return _read(places, "digest string, width int, height int, depth int, colour int", make)
 
 
-def read_payloads(places: DataFrame) -> DataFrame:
-    """What each digest's header alone and then its stored bytes give when they are read back, beside its place."""
+def _payloads(places: DataFrame) -> DataFrame:
+    """read_payloads() without its second column, over digests as bytes; the digest is that of the payload read back."""
 
     def make(file, digest, offset, length):
         head = png_header(file.read_at(HEADER, offset))
         raw = file.read_at(length, offset)
         payload = from_png(raw)
-        sha = hashlib.sha256(payload).hexdigest()
+        sha = hashlib.sha256(payload).digest()
         if sha != digest:
-            raise ValueError(f"payload {digest} is damaged")
-        return digest, len(payload), sha, zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(payload, head), offset, length, head["width"], head["height"], head["depth"], head["colour"]
+            raise ValueError(f"payload {digest.hex()} is damaged")
+        return sha, len(payload), zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).digest(), feature(payload, head), offset, length, head["width"], head["height"], head["depth"], head["colour"]
 
-    schema = "digest string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, offset bigint, length bigint, width int, height int, depth int, colour int"
+    schema = "digest binary, payload_bytes bigint, tail_crc32 bigint, media_bytes bigint, media_sha256 binary, feature string, offset bigint, length bigint, width int, height int, depth int, colour int"
     return _read(places, schema, make, ("shard",))
 
 
+def _as_text(found: DataFrame) -> DataFrame:
+    return _hex(found).withColumn("payload_sha256", F.col("digest")).withColumn("media_sha256", F.lower(F.hex("media_sha256")))
+
+
+def read_payloads(places: DataFrame) -> DataFrame:
+    """What each digest's header alone and then its stored bytes give when they are read back, beside its place."""
+    columns = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "offset", "length", "width", "height", "depth", "colour", "shard"]
+    return _as_text(_payloads(places.withColumn("digest", F.unhex("digest")))).select(columns)
+
+
 def described(docs: DataFrame, folder: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows (id, n_bytes, digest), and for each digest its place and the metadata columns read from its header alone."""
     rows, places = store(docs, folder, id_column, text_column)
@@ -257,7 +285,7 @@ def media_columns(docs: DataFrame, folder: str | None = None, id_column: str = "
 
 def media_report(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """The media columns and what the payloads give when they are read back."""
-    rows, places = store(docs, folder)
-    found = materialize(read_payloads(places), "features")
+    rows, places = _stored(docs, folder)
+    found = materialize(_payloads(places), "features")
     columns = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length", "width", "height", "depth", "colour"]
-    return rows.join(found, "digest").select(F.col("id").alias("doc_id"), *columns)
+    return _as_text(rows.join(found, "digest")).select(F.col("id").alias("doc_id"), *columns)
