@@ -50,3 +50,20 @@ def test_outcomes_of_repeated_labels(repeated, many):
 def test_outcomes_of_labels_without_a_record(spark):
     s = spark.createDataFrame([(None, "A", 0, 5)], SPAN)
     assert [(r.outcome, r.n) for r in metrics.error_taxonomy(s, s).collect()] == [("complete_miss", 1)]
+
+
+@pytest.mark.parametrize("same_type", [True, False])
+def test_greedy_matches_of_repeated_spans(repeated, many, same_type):
+    p, g, pd, gd = repeated
+    p, g = (sorted(s, key=lambda x: (x[0], x[2], x[3], x[1])) for s in (p, g))
+    pairs = sorted((-share(x, y), i, j) for i, x in enumerate(p) for j, y in enumerate(g) if over(x, y) and (x[1] == y[1] or not same_type) and share(x, y) >= 0.5)
+    taken, other, want = set(), set(), {}
+    for _, i, j in pairs:
+        if i not in taken and j not in other:
+            taken.add(i), other.add(j)
+            key = p[i][:2] if same_type else p[i][:1]
+            want[key] = want.get(key, 0) + 1
+    got = metrics.overlap_matches(pd, gd, same_type=same_type).collect()
+    assert {tuple(r)[:-1]: r.tp for r in got} == want
+    r = metrics.overlap_scores(*many).first()
+    assert (r.tp, r.predicted, r.gold) == (200_000, 200_000, 200_000)
