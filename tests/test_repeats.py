@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.operators import metrics
+from veilspark.operators import matching, metrics
 
 SPAN = "record_id string, entity_type string, start int, end int"
 
@@ -67,3 +67,22 @@ def test_greedy_matches_of_repeated_spans(repeated, many, same_type):
     assert {tuple(r)[:-1]: r.tp for r in got} == want
     r = metrics.overlap_scores(*many).first()
     assert (r.tp, r.predicted, r.gold) == (200_000, 200_000, 200_000)
+
+
+@pytest.mark.parametrize("mode", matching.MODES)
+def test_first_fit_of_repeated_spans(repeated, many, mode):
+    p, g, pd, gd = repeated
+    order = lambda s: (s[2], s[3], s[1])
+    fits = {"strict": lambda x, y: x[1:] == y[1:], "exact": lambda x, y: x[2:] == y[2:], "type": lambda x, y: x[1] == y[1] and over(x, y), "partial": lambda x, y: over(x, y) and share(x, y) >= 0.5}[mode]
+    for r in matching.aligned(pd, gd, mode).collect():
+        mine, labels, taken = (sorted([s for s in side if s[0] == r.record_id], key=order) for side in (p, g, []))
+        for y in labels:
+            taken += [i for i, x in enumerate(mine) if i not in taken and fits(x, y)][:1]
+        assert (r.tp, r.predicted, r.gold) == (len(taken), len(mine), len(labels))
+    r = matching.aligned(*many, mode).first()
+    assert (r.tp, r.predicted, r.gold) == (100_000 if mode in ("strict", "exact") else 200_000, 200_000, 200_000)
+
+
+def test_scores_by_group_of_repeated_spans(spark, many):
+    records = spark.createDataFrame([("r", "en")], "record_id string, language string")
+    assert [tuple(r)[:4] for r in matching.scores_by(*many, records, "language", "type").collect()] == [("en", 200_000, 200_000, 200_000)]
