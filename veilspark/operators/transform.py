@@ -159,16 +159,19 @@ def seed(key: str, scope: Column, x: Column) -> Column:
     return F.conv(F.hex(F.substring(h, 1, 8)), 16, 10).cast("decimal(20,0)")
 
 
-def _shift(s: Column, bits: int) -> Column:
-    return F.floor(s / F.lit(1 << bits).cast("decimal(20,0)")).cast("decimal(20,0)") if bits else s
+def _signed(s: Column) -> Column:
+    """A seed less 2^63 as a bigint, which is worked with far faster than a decimal."""
+    return (s - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("bigint")
 
 
-def _mod(s: Column, n: int) -> Column:
-    return (s % F.lit(n).cast("decimal(20,0)")).cast("int")
+def _mod(s: Column, n: int | Column, bits: int = 0) -> Column:
+    """What is left of a seed, moved by so many bits, by n."""
+    n = n if isinstance(n, Column) else F.lit(n).cast("bigint")
+    return F.pmod(F.pmod(F.shiftright(_signed(s), bits) if bits else _signed(s), n) + (F.lit(1 << 63 - bits) if bits else F.pmod(F.lit((1 << 63) - 1), n) + 1) % n, n)
 
 
-def _pick(words: list[str], s: Column) -> Column:
-    return F.get(F.array(*map(F.lit, words)), _mod(s, len(words)))
+def _pick(words: list[str], s: Column, bits: int = 0) -> Column:
+    return F.get(F.array(*map(F.lit, words)), _mod(s, len(words), bits).cast("int"))
 
 
 def _by_language(language: Column, make: Callable[[str], Column]) -> Column:
@@ -183,7 +186,7 @@ def _first(language: Column, s: Column) -> Column:
 
 
 def _last(language: Column, s: Column) -> Column:
-    return _by_language(language, lambda k: _pick(NAMES[k][1].split(), _shift(s, 16)))
+    return _by_language(language, lambda k: _pick(NAMES[k][1].split(), s, 16))
 
 
 def synthetic_name(x: Column, language: Column, s: Column) -> Column:
@@ -195,53 +198,71 @@ def synthetic_name(x: Column, language: Column, s: Column) -> Column:
 
 def synthetic_email(x: Column, language: Column, s: Column) -> Column:
     dot = F.when(F.substring_index(x, "@", 1).contains("."), ".").otherwise("")
-    return F.concat(F.lower(_first(language, s)), dot, F.lower(_last(language, s)), F.lit("@"), _pick(["example.com", "example.org", "example.net"], _shift(s, 32)))
+    return F.concat(F.lower(_first(language, s)), dot, F.lower(_last(language, s)), F.lit("@"), _pick(["example.com", "example.org", "example.net"], s, 32))
+
+
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, which is worked out once however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _walked(s: Column, gain: int, n: int) -> Column:
+    """The digits that a seed gives as it loses its last digit and gains ``gain``, n times: adding the gain to what is left is adding its tens before."""
+    tens = F.lit(f"{gain}" * (n - 1) + "0").cast(f"decimal({n},0)")
+    return F.substring(F.reverse(F.lpad((s + tens).cast("string"), 30, "0")), 1, n)
 
 
 def _digit_walk(x: Column, s: Column) -> Column:
-    """Each digit replaced by the seed's last; the seed then loses it and gains 7."""
-    ten = F.lit(10).cast("decimal(20,0)")
-    start = F.struct(F.lit("").alias("out"), s.alias("s"))
-    step = lambda a, ch: F.when(
-        ch.rlike("[0-9]"), F.struct(F.concat(a["out"], (a["s"] % ten).cast("int").cast("string")).alias("out"), (F.floor(a["s"] / ten) + 7).cast("decimal(20,0)").alias("s"))
-    ).otherwise(F.struct(F.concat(a["out"], ch).alias("out"), a["s"].alias("s")))
-    return F.aggregate(F.split(x, ""), start, step, lambda a: a["out"])
+    """Each digit replaced by the seed's last; the seed then loses it and gains 7.  A seed of 20 digits has only sevens left after 26."""
+    gaps = F.split(x, "[0-9]", -1)
+    digits = F.rpad(_walked(s, 7, 26), F.size(gaps) - 1, F.lit("7"))
+    return _once(digits, lambda d: F.array_join(F.transform(gaps, lambda g, i: F.concat(g, d.substr(i + 1, F.lit(1)))), ""))
 
 
 def synthetic_address(x: Column, language: Column, s: Column) -> Column:
     city = _by_language(language, lambda k: _pick(CITIES[k].split("|"), s))
-    return F.concat((_mod(s, 9000) + 100).cast("string"), F.lit(" "), _pick(STREETS.split("|"), _shift(s, 16)), F.lit(", "), city)
+    return F.concat((_mod(s, 9000) + 100).cast("string"), F.lit(" "), _pick(STREETS.split("|"), s, 16), F.lit(", "), city)
 
 
 def synthetic_zip(x: Column, s: Column) -> Column:
     n = F.length(F.regexp_replace(x, "[^0-9]", ""))
     n = F.when(n <= 0, 5).otherwise(F.least(n, F.lit(18)))
-    body = F.lpad((s % F.pow(F.lit(10), n).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string"), n, "0")
+    body = F.lpad(_mod(s, F.pow(F.lit(10), n).cast("bigint")).cast("string"), n, "0")
     first = F.length(F.regexp_replace(F.substring_index(x, "-", 1), "[^0-9]", ""))
     return F.when(x.contains("-"), F.concat(body.substr(F.lit(1), first), F.lit("-"), body.substr(first + 1, n))).otherwise(body)
 
 
 def synthetic_card(s: Column) -> Column:
-    """A number that passes the Luhn check."""
-    ten = F.lit(10).cast("decimal(20,0)")
-    start = F.struct(F.lit("4").alias("out"), s.alias("s"))
-    step = lambda a, _: F.struct(F.concat(a["out"], (a["s"] % ten).cast("int").cast("string")).alias("out"), (F.floor(a["s"] / ten) + 3).cast("decimal(20,0)").alias("s"))
-    head = F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda a: a["out"])
-    ends = F.array(*[F.lit(str(k)) for k in range(10)])
-    full = F.try_element_at(F.filter(F.transform(ends, lambda e: F.concat(head, e)), lambda c: F.call_function("luhn_check", c)), F.lit(1))
-    return F.concat_ws("-", *[F.substring(full, 4 * k + 1, 4) for k in range(4)])
+    """A number that passes the Luhn check: 4, the seed's last digit 14 times (it then loses it and gains 3), and the check digit of these."""
+    twice = F.create_map(*[F.lit(x) for d in range(10) for x in (str(d), 2 * d - 9 * (d > 4))])
+
+    def made(d: Column) -> Column:
+        one = lambda k: F.try_element_at(twice, F.substring(d, k, 1)) if k % 2 else F.substring(d, k, 1).cast("int")
+        total = one(1)
+        for k in range(2, 16):
+            total = total + one(k)
+        return F.concat_ws("-", *[F.substring(d, 4 * k + 1, 4) for k in range(3)], F.concat(F.substring(d, 13, 3), F.pmod(-total, F.lit(10)).cast("string")))
+
+    return _once(F.concat(F.lit("4"), _walked(s, 3, 14)), made)
+
+
+def _date_parts(x: Column) -> Column:
+    """(y, sep, m, d) of the first date in a text; null if it has none."""
+    found = F.nullif(F.regexp_extract(x, "[0-9]{4}[^0-9][0-9]{1,2}[^0-9][0-9]{1,2}", 0), F.lit(""))
+    n = lambda t: F.when(F.substring(t, 7, 1).between("0", "9"), 2).otherwise(1)  # noqa: E731  (digits of the month)
+    part = lambda t: F.struct(F.substring(t, 1, 4).cast("int").alias("y"), F.substring(t, 5, 1).alias("sep"), t.substr(F.lit(6), n(t)).cast("int").alias("m"), t.substr(n(t) + 7, F.lit(2)).cast("int").alias("d"))
+    return _once(found, lambda t: F.when(t.isNotNull(), part(t)))
 
 
-def _date_parts(x: Column) -> list[Column]:
-    rx = "([0-9]{4})([^0-9])([0-9]{1,2})[^0-9]([0-9]{1,2})"
-    return [F.regexp_extract(x, rx, k) for k in (1, 2, 3, 4)]
+def _two(n: Column) -> Column:
+    return F.lpad(n.cast("string"), 2, "0")
 
 
 def synthetic_date(x: Column, s: Column) -> Column:
-    y, sep, m, d = _date_parts(x)
-    month, day = F.greatest(F.lit(1), F.least(F.lit(12), m.try_cast("int") + _mod(_shift(s, 8), 3))), F.greatest(F.lit(1), F.least(F.lit(28), d.try_cast("int")))
-    new = F.concat((y.try_cast("int") + _mod(s, 5) - 2).cast("string"), sep, F.format_string("%02d", month), sep, F.format_string("%02d", day))
-    return F.when(y == "", x).otherwise(new)
+    month = lambda p: F.greatest(F.lit(1), F.least(F.lit(12), p["m"] + _mod(s, 3, 8).cast("int")))
+    day = lambda p: F.greatest(F.lit(1), F.least(F.lit(28), p["d"]))
+    new = lambda p: F.concat((p["y"] + _mod(s, 5).cast("int") - 2).cast("string"), p["sep"], _two(month(p)), p["sep"], _two(day(p)))
+    return _once(_date_parts(x), lambda p: F.when(p.isNull(), x).otherwise(new(p)))
 
 
 def synthetic_generic(x: Column, s: Column) -> Column:
@@ -273,8 +294,8 @@ def laplace(s: Column, scale: float) -> Column:
     return -scale * F.signum(u) * F.ln(1 - 2 * F.abs(u))
 
 
-def gaussian(s: Column, sigma: Column) -> Column:
-    u1, u2 = (_mod(s, 1_000_000) + 1) / 1_000_001.0, (_mod(_shift(s, 20), 1_000_000) + 1) / 1_000_001.0
+def gaussian(s: Column, sigma: Column, bits: int = 0) -> Column:
+    u1, u2 = (_mod(s, 1_000_000, bits) + 1) / 1_000_001.0, (_mod(s, 1_000_000, bits + 20) + 1) / 1_000_001.0
     return F.sqrt(-2 * F.ln(F.greatest(u1, F.lit(1e-10)))) * F.cos(2 * F.pi() * u2) * sigma
 
 
@@ -292,17 +313,17 @@ def perturb_salary(x: Column, s: Column, sigma: float = 0.1) -> Column:
 
 def perturb_coordinates(x: Column, s: Column, sigma: float = 0.01) -> Column:
     parts = F.transform(F.regexp_extract_all(x, F.lit("-?\\d+\\.?\\d*"), F.lit(0)), lambda p: p.try_cast("double"))
-    at = lambda k, s, most: F.greatest(F.lit(-most), F.least(F.lit(most), F.get(parts, F.lit(k)) + gaussian(s, F.lit(sigma))))
-    return F.when(F.size(parts) < 2, x).otherwise(F.format_string("%.4f,%.4f", at(0, s, 90.0), at(1, _shift(s, 20), 180.0)))
+    at = lambda k, bits, most: F.greatest(F.lit(-most), F.least(F.lit(most), F.get(parts, F.lit(k)) + gaussian(s, F.lit(sigma), bits)))
+    return F.when(F.size(parts) < 2, x).otherwise(F.format_string("%.4f,%.4f", at(0, 0, 90.0), at(1, 20, 180.0)))
 
 
 def perturb_date(x: Column, s: Column) -> Column:
     """Up to 30 days to and fro, in months of 28 days."""
-    y, sep, m, d = _date_parts(x)
-    count = (y.try_cast("int") * 12 + m.try_cast("int") - 1) * 28 + d.try_cast("int") - 1 + _mod(s, 61) - 30
-    months = F.floor(count / 28)
-    new = F.concat(F.floor(months / 12).cast("string"), sep, F.format_string("%02d", F.pmod(months, F.lit(12)) + 1), sep, F.format_string("%02d", F.pmod(count, F.lit(28)) + 1))
-    return F.when(y == "", x).otherwise(new)
+    days = lambda p: (p["y"] * 12 + p["m"] - 1) * 28 + p["d"] - 1 + _mod(s, 61).cast("int") - 30
+    months = lambda n: F.call_function("div", n - F.pmod(n, F.lit(28)), F.lit(28))
+    years = lambda k: F.call_function("div", k - F.pmod(k, F.lit(12)), F.lit(12))
+    shown = lambda p, n: F.concat(years(months(n)).cast("string"), p["sep"], _two(F.pmod(months(n), F.lit(12)) + 1), p["sep"], _two(F.pmod(n, F.lit(28)) + 1))
+    return _once(_date_parts(x), lambda p: F.when(p.isNull(), x).otherwise(_once(days(p), lambda n: shown(p, n))))
 
 
 def perturb(entity_type: Column, x: Column, scope: Column, index: Column, epsilon: float = 1.0, sigma: float = 0.1) -> Column:
