@@ -1,10 +1,13 @@
 """Operators whose cost a row or a group was out of proportion, against plain Python."""
 
 import time
+from functools import reduce
+from itertools import permutations
+from operator import add
 
 from pyspark.sql import functions as F
 
-from veilspark.operators import transform
+from veilspark.operators import routing, transform
 
 
 def walk(x, s, gain):
@@ -45,3 +48,13 @@ def test_cards_are_cheap(spark):
     began = time.time()
     cards.coalesce(1).write.format("noop").mode("overwrite").save()
     assert time.time() - began < 20
+
+
+def test_a_mean_at_the_threshold_is_not_below_it_in_any_order(spark):
+    values = [0.7, 0.1, 0.2 + 0.1, 0.8 + 0.1, 0.5 + 0.1, 0.4]  # their mean is 0.5, their sum depends on the order
+    assert {reduce(add, p) / 6 < 0.5 for p in permutations(values)} == {True, False}
+    rows = [(k, x) for k, p in enumerate(permutations(values)) for x in p]
+    found = spark.createDataFrame(rows, "doc_id bigint, confidence double").coalesce(1)
+    more = spark.createDataFrame([(-1, 0.49), (-1, 0.5)], "doc_id bigint, confidence double")
+    texts = spark.range(-2, 720).withColumnRenamed("id", "doc_id")
+    assert {r.doc_id for r in routing.needy(found.unionByName(more), texts, 0.5).collect()} == {-2, -1}
