@@ -8,7 +8,7 @@ from operator import add
 
 from pyspark.sql import functions as F
 
-from veilspark.operators import rating, routing, siv, transform
+from veilspark.operators import link, rating, routing, siv, transform
 
 
 def walk(x, s, gain):
@@ -73,6 +73,16 @@ def test_tokens_are_cheap_and_as_before(spark):
     assert got == {0: '<A:v1:aes_mO25OHvRjf6F9pX7zy7qbQ>', 1: '<B:v1:aes_Eb-Nzg6d8fxZnKK_eAa3N3UG2AEQmWKBMUXbS6ZsR4V-RjwfUimdbaEt4Wjis9o5IqPRyppwz1Q>', 2: None, 3: None}
 
 
+def test_many_small_scopes_are_linked_in_batches(spark):
+    """20,000 documents, none of which is a group of its own for Python."""
+    kinds = F.array(F.lit("Omar"), F.lit("omarreyes@example.net"), F.lit("Omar Reyes"))
+    at = F.posexplode(kinds).alias("k", "matched")
+    found = spark.range(20_000).select(F.col("id").alias("doc_id"), at).select("doc_id", F.when(F.col("k") == 1, "EMAIL_ADDRESS").otherwise("PERSON_NAME").alias("entity_type"), (50 - F.col("k") * 20).alias("span_start"), (60 - F.col("k") * 20).alias("span_end"), "matched")
+    linked = link.link(found).groupBy("span_start", "placeholder_index", "cluster_id", "rule").count().orderBy("span_start").collect()
+    assert [tuple(r) for r in linked] == [(10, 0, "PERSON_NAME:0", "new", 20_000), (30, 0, "PERSON_NAME:0", "email is the full name", 20_000), (50, 0, "PERSON_NAME:0", "first name", 20_000)]
+    assert "FlatMapGroupsInPandas" not in link.link(found)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_elo_by_blocks_is_elo(spark):
     """Groups of several blocks, the last of them short, in one process and over all cores."""
     rng = random.Random(5)

@@ -1,7 +1,8 @@
 """Entity linking within a scope.
 
 A scope's mentions are taken in order; each finds the cluster whose aliases fit best, or starts
-one.  The order matters, so a scope is one group (``applyInPandas``): a document by default.
+one.  The order matters, so a scope's mentions are one array: a document's by default.  A batch
+has many scopes, as a group of its own costs milliseconds.
 A scope that is the whole corpus is one task, and for that ``link_by_alias`` joins on
 normalised aliases instead, which is another semantics and named so.
 """
@@ -9,15 +10,16 @@ normalised aliases instead, which is another semantics and named so.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.lexicon import HONORIFICS
 
 LINKED = "scope string, doc_id bigint, entity_type string, span_start int, span_end int, matched string, cluster_id string, placeholder_index int, link_score double, rule string"
+KINDS = {x.split()[0]: {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}[x.split()[1]] for x in LINKED.split(", ")}
 
 
 def alias_norm(x: Column) -> Column:
@@ -101,14 +103,20 @@ def link(findings: DataFrame, scope: Column | None = None, min_score: float = 0.
     """Disjoint findings (doc_id, entity_type, span_start, span_end, matched) with cluster and placeholder number."""
     scope = scope if scope is not None else F.col("doc_id").cast("string")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "span_start", "span_end"], kind="stable").reset_index(drop=True)
-        got = link_scope(list(zip(pdf["entity_type"], pdf["matched"], strict=True)), min_score)
-        kinds = pdf["entity_type"].where(~pdf["entity_type"].isin(["PERSON_NAME", "EMAIL_ADDRESS"]), "PERSON_NAME")
-        return pdf.assign(cluster_id=[f"{k}:{i}" for k, (i, _, _) in zip(kinds, got, strict=True)], placeholder_index=[i for i, _, _ in got], link_score=[s for _, s, _ in got], rule=[r for _, _, r in got])[[x.split()[0] for x in LINKED.split(", ")]]
+    def rows(scope: str, mentions: list[dict]) -> Iterator[tuple]:
+        for m, (i, score, rule) in zip(mentions, link_scope([(m["entity_type"], m["matched"]) for m in mentions], min_score), strict=True):
+            kind = "PERSON_NAME" if m["entity_type"] in ("PERSON_NAME", "EMAIL_ADDRESS") else m["entity_type"]
+            yield scope, m["doc_id"], m["entity_type"], m["span_start"], m["span_end"], m["matched"], f"{kind}:{i}", i, score, rule
 
-    named = findings.select(scope.alias("scope"), "doc_id", "entity_type", "span_start", "span_end", "matched")
-    return named.groupBy("scope").applyInPandas(run, LINKED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [r for scope, mentions in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in rows(scope, mentions)]
+            columns = zip(*made, strict=True) if made else [[]] * len(KINDS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, KINDS.values(), strict=True)], list(KINDS))
+
+    mention = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("span_start").cast("int").alias("span_start"), F.col("span_end").cast("int").alias("span_end"), "entity_type", "matched")
+    grouped = findings.select(scope.alias("scope"), mention.alias("m")).groupBy("scope").agg(F.array_sort(F.collect_list("m")).alias("mentions"))
+    return grouped.mapInArrow(run, LINKED)
 
 
 def link_by_alias(findings: DataFrame) -> DataFrame:
