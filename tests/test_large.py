@@ -1,6 +1,7 @@
 """Operators whose cost a row or a group was out of proportion, against plain Python."""
 
 import random
+import re
 import time
 from functools import reduce
 from itertools import permutations
@@ -8,7 +9,9 @@ from operator import add
 
 from pyspark.sql import functions as F
 
-from veilspark.operators import link, rating, routing, siv, transform
+from veilspark.functions.patterns import REGISTRY
+from veilspark.operators import detect, link, rating, routing, siv, transform
+from veilspark.plans.scoring_catalogue import FIXTURES
 
 
 def walk(x, s, gain):
@@ -73,6 +76,21 @@ def test_tokens_are_cheap_and_as_before(spark):
     assert got == {0: '<A:v1:aes_mO25OHvRjf6F9pX7zy7qbQ>', 1: '<B:v1:aes_Eb-Nzg6d8fxZnKK_eAa3N3UG2AEQmWKBMUXbS6ZsR4V-RjwfUimdbaEt4Wjis9o5IqPRyppwz1Q>', 2: None, 3: None}
 
 
+def test_patterns_start_at_their_places():
+    """All matches of the patterns that are tried at some places only, in texts that hold something for every pattern and in scrambled ones."""
+    rng, fixtures = random.Random(3), [t for _, t in FIXTURES]
+    pieces = sorted({x for t in fixtures for x in re.findall(r"\w+|\W", t)}) + ["é", "É", "_", "٣", "\n", "1", "A", "-", ".", "("]
+    texts = fixtures + ["".join(x) for x in (rng.choices(pieces, k=60) for _ in range(400))] + ["".join(rng.choices("AaB1 9.-+(é_", k=80)) for _ in range(400)]
+    texts += [" ".join(rng.sample(fixtures, 3)) for _ in range(40)]
+    placed = [(s, detect.places(s)) for s in REGISTRY if detect.places(s)]
+    assert len(placed) >= 30
+    for s, where in placed:
+        rx = re.compile(s.pattern, s.flags)
+        for t in texts:
+            starts = [m.start() for m in detect.PLACES[where][1].finditer(t)]
+            assert [m.regs for m in detect._matches(rx, t, starts)] == [m.regs for m in rx.finditer(t)], (s.pattern, t)
+
+
 def test_many_small_scopes_are_linked_in_batches(spark):
     """20,000 documents, none of which is a group of its own for Python."""
     kinds = F.array(F.lit("Omar"), F.lit("omarreyes@example.net"), F.lit("Omar Reyes"))

@@ -54,9 +54,70 @@ def _guard(s: Spec) -> list[str]:
     return []
 
 
+#: Where matches can start, by the characters that they can start with: (the characters, the places).  Each pattern
+#: of places begins with a set, which is looked for far faster than a word's edge.
+PLACES = {
+    "upper": (frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), re.compile("[A-Z](?<![A-Za-z][A-Z])")), "digit": (frozenset("0123456789"), re.compile(r"\d(?<!\d\d)")),
+    "upper or digit": (frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), re.compile(r"[A-Z\d](?<![A-Za-z][A-Z])(?<!\d\d)")), "number": (frozenset("+-(0123456789"), re.compile(r"[-+(\d](?<!\d\d)")),
+}
+#: What a pattern must begin with for these places to hold all its matches.
+EDGES = {"\\b": PLACES, "(?<!\\w)": PLACES, "(?<![A-Za-z])": ("upper",), "(?<![0-9.])": ("digit", "number")}
+
+
+def _first(tree, flags: int) -> tuple[frozenset[str] | None, bool]:
+    """The characters that a parsed pattern's matches can start with (None: not known), and whether it can match nothing."""
+    known: frozenset[str] = frozenset()
+    for op, value in tree:
+        name, empty = str(op), False
+        if name in ("AT", "ASSERT", "ASSERT_NOT"):
+            continue
+        if name == "LITERAL":
+            some = frozenset(chr(value))
+        elif name == "IN":
+            some = frozenset()
+            for kind, x in value:
+                part = {"LITERAL": lambda x=x: chr(x), "RANGE": lambda x=x: map(chr, range(x[0], x[1] + 1)), "CATEGORY": lambda x=x: "0123456789" if str(x) == "CATEGORY_DIGIT" else None}.get(str(kind), lambda: None)()
+                if part is None:
+                    return None, False
+                some |= frozenset(part)
+        elif name == "SUBPATTERN":
+            some, empty = _first(value[3], flags | value[1])
+        elif name == "BRANCH":
+            parts = [_first(x, flags) for x in value[1]]
+            some, empty = None if any(p is None for p, _ in parts) else frozenset().union(*[p for p, _ in parts]), any(e for _, e in parts)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            some, empty = _first(value[2], flags)
+            empty = empty or value[0] == 0
+        else:
+            return None, False
+        if some is None or (flags & re.IGNORECASE and any(c.lower() != c.upper() for c in some)):
+            return None, False
+        known |= some
+        if not empty:
+            return known, False
+    return known, True
+
+
+def places(s: Spec) -> str | None:
+    """The kind of places where all matches of a pattern start, if there is one."""
+    kinds = next((k for edge, k in EDGES.items() if s.pattern.startswith(edge)), ())
+    tree = re._parser.parse(s.pattern, s.flags)
+    known, empty = _first(tree, s.flags)
+    return None if known is None or empty or str(tree[0][0]) == "BRANCH" else next((k for k in kinds if known <= PLACES[k][0]), None)
+
+
+def _matches(rx: re.Pattern, text: str, starts: Sequence[int]) -> Iterator[re.Match]:
+    """What ``rx.finditer(text)`` gives if all matches start at these places."""
+    end = 0
+    for a in starts:
+        if a >= end and (m := rx.match(text, a)):
+            yield m
+            end = m.end()
+
+
 def _scan(batches: Iterator[pa.RecordBatch], specs: Sequence[tuple[int, Spec]]) -> Iterator[pa.RecordBatch]:
     """Candidates of a batch of (id, field, lang, text)."""
-    compiled = [(k, re.compile(s.pattern, s.flags), s, s.entity_type in WITH_DIGIT, _guard(s)) for k, s in specs]
+    compiled = [(k, re.compile(s.pattern, s.flags), s, s.entity_type in WITH_DIGIT, _guard(s), places(s)) for k, s in specs]
     for b in batches:
         at, rows = [], []
         for i, (lang, text) in enumerate(zip(b.column(2), b.column(3), strict=True)):
@@ -64,10 +125,13 @@ def _scan(batches: Iterator[pa.RecordBatch], specs: Sequence[tuple[int, Spec]])
             if not text:
                 continue
             low, digit = text.casefold().replace("ı", "i").replace("i̇", "i"), bool(_DIGIT.search(text))
-            for k, rx, s, counted, words in compiled:
+            starts = {}
+            for k, rx, s, counted, words, where in compiled:
                 if (counted and not digit) or (s.needs and s.needs not in text) or (s.language and s.language != lang) or (words and not any(w in low for w in words)):
                     continue
-                for m in rx.finditer(text):
+                if where and where not in starts:
+                    starts[where] = [m.start() for m in PLACES[where][1].finditer(text)]
+                for m in _matches(rx, text, starts[where]) if where else rx.finditer(text):
                     a, z = m.span(s.group)
                     if a < z:
                         at.append(i)
